@@ -119,7 +119,7 @@ def test_line_keys_meet(spark):
                 b[at : at + rng.randrange(0, 2)] = rng.choice(["", "x"])
             pairs.append((a, "".join(b)))
         for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.keys_of(F.col("a"), most), lines.keys_of(F.col("b"), most)).collect():
-            one, two = ({(k.key, k.index) for k in x} for x in r[2:])
+            one, two = ({(k["key"], k["index"]) for k in x} for x in r[2:])
             assert any((k, not i) in two or (k, i) in two for k, i in one), (r[0], r[1])
 
 
