@@ -118,8 +118,10 @@ def repeated(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int,
     """Per document with such windows: doc_id, spans (first window, windows) of windows that occur earlier: in a document with a smaller id or, if `within`, also earlier in the same one. steps: the k of each round, the last equal to length."""
     todo, found = docs, []
     for k in steps:
-        rows = _rows(todo, units, length, k)
-        often = rows.groupBy("h").count().where("count > 1").select("h")
+        # the first round's anchors are cheaper to find again than to keep; later rounds would shuffle their texts again
+        rows = _rows(todo, units, length, k) if todo is docs else written(_rows(todo, units, length, k))
+        # written, so that the join has an exchange on either side and can split a frequent name
+        often = written(rows.groupBy("h").count().where("count > 1").select("h"))
         mine = written(rows.join(often, "h"))
         first = mine.groupBy("h", "run").agg(F.min(F.struct("doc_id", "at")).alias("first"))
         first = first.withColumnRenamed("h", "_h").withColumnRenamed("run", "_run")
@@ -128,7 +130,7 @@ def repeated(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int,
         joined = mine.join(first, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run")))
         later = F.struct("doc_id", "at") > F.col("first") if within else F.col("doc_id") > F.col("first.doc_id")
         told = written(joined.select("doc_id", "at", "n", later.alias("later"), (F.col("_runs") > 1).alias("branching")).where("later or branching"))
-        dropped(mine)
+        dropped(mine, often, *([] if todo is docs else [rows]))
         found.append(told.where("later").select("doc_id", "at", "n"))
         if k == length:
             break
