@@ -60,15 +60,18 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two strings is at most `edits` (up to 5). a is read a character at a time; bit d of state e says that with e edits the band's diagonal d - edits is reached."""
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
+    n, m = F.char_length(a), F.char_length(b)
     start = [sum(1 << (edits + d) for d in range(e + 1)) for e in range(edits + 1)]
     first = F.struct(*[F.lit(s).cast("int").alias(f"e{e}") for e, s in enumerate(start)])
+    # a's characters, each beside those of b within the band: one array, made once
+    gap = F.array_repeat(F.lit(None).cast("string"), edits)
+    y = F.concat(gap, F.split(b, "")) if edits else F.split(b, "")
+    band = F.slice(F.arrays_zip(F.split(a, "").alias("c"), *[F.slice(y, d + 1, F.greatest(n, F.lit(1))).alias(f"y{d}") for d in range(width)]), 1, F.greatest(n, F.lit(1)))
 
-    def step(state: Column, j: Column) -> Column:
+    def step(state: Column, at: Column) -> Column:
         same = None
-        c = F.get(x, j)
-        for d in range(width):  # a's place j against b's place j + d - edits
-            bit = F.when(F.get(y, j + (d - edits)) == c, 1 << d).otherwise(0)
+        for d in range(width):  # place j of a against place j + d - edits of b
+            bit = F.when(at[f"y{d}"] == at["c"], 1 << d).otherwise(0)
             same = bit if same is None else same.bitwiseOR(bit)
         new: list[Column] = []
         for e in range(edits + 1):
@@ -79,8 +82,7 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             new.append(r.cast("int"))
         return F.struct(*[v.alias(f"e{e}") for e, v in enumerate(new)])
 
-    n, m = F.char_length(a), F.char_length(b)
-    done = F.aggregate(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), first, step)
+    done = F.aggregate(F.when(n > 0, band).otherwise(F.slice(band, 1, 0)), first, step)
     return (F.abs(m - n) <= edits) & (F.call_function("shiftright", done[f"e{edits}"], F.greatest(m - n + edits, F.lit(0)).cast("int")).bitwiseAND(F.lit(1)) == 1)
 
 
@@ -97,7 +99,7 @@ def _links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """Of lines that equal, or are linked to, others: h and class (a line hash). Lines linked to none but themselves have no row."""
     lines = lines_of(docs)
-    keyed = lines.select("h", F.explode(keys_of(F.col("line"), edits)).alias("k")).select("h", "k.key", "k.index")
+    keyed = written(lines.select("h", F.explode(keys_of(F.col("line"), edits)).alias("k")).select("h", "k.key", "k.index"))
     shared = keyed.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("last"), F.max("index").alias("any")).where("any and lead <> last").select("key", "lead")
     members = written(keyed.join(shared, "key").distinct())
     links = written(_links(members.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct(), lines, edits))
