@@ -10,6 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
 # fixed values
 MINHASH_SLOTS = 128
@@ -20,7 +21,7 @@ UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}\p{IsThai}\p{IsLao
 _MIX1, _MIX2, _STEP = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def compatible(text: pd.Series) -> pd.Series:
     """NFKC, which Spark has no function for."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -51,8 +52,10 @@ def tokens(text: Column) -> Column:
 def shingles(words: Column, k: int = SHINGLE_WORDS) -> Column:
     """Distinct runs of k words, joined; all words as one, if they are fewer; none without words."""
     n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
+    # words beside their followers: nothing but the elements reaches the lambda, so words are not worked out again for each run
+    shifted = F.arrays_zip(*[F.slice(words, i + 1, F.greatest(n - k + 1, F.lit(0))).alias(f"w{i}") for i in range(k)])
+    runs = F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(k)])))
+    return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(words, " "))).otherwise(runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -104,7 +107,7 @@ def minhash_of(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("struct<distinct: int, slots: array<bigint>>")
+@F.pandas_udf(StructType([StructField("distinct", IntegerType()), StructField("slots", ArrayType(LongType()))]))
 def signature(words: pd.Series) -> pd.DataFrame:
     """Distinct shingles and MinHash of arrays of words."""
     rows = [shingle_hashes(list(w) if w is not None else []) for w in words]
@@ -120,7 +123,7 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return F.when((a["distinct"] >= MIN_SHINGLES) | (b["distinct"] >= MIN_SHINGLES), minhash_similarity(a["slots"], b["slots"]))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def simhash(words: pd.Series) -> pd.Series:
     """A bit for each column of the shingles' hashes with more ones than zeros; repeats vote again."""
     out = []
@@ -175,12 +178,12 @@ class _Counted:
 _COUNTED = _Counted()
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def swapped(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is not None and y is not None and swapped_texts(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(LongType())
 def xxh64(content: pd.Series) -> pd.Series:
     """xxHash64 with seed 0, as a signed number."""
     return pd.Series([None if c is None else int(np.uint64(xxhash.xxh64_intdigest(c)).astype(np.int64)) for c in content], dtype="Int64")
