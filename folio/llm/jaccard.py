@@ -29,8 +29,9 @@ from folio.llm.common import batch_bytes, components, maybe_in, mix, raw, word_h
 
 #: Groups of a point in the leaves; documents of an inner box; documents of a leaf.
 GROUPS, NODE, LEAF = 256, 16, 256
-_SLICE_GROUPS = 64
-_WEIGHT = mix(np.arange(1, _SLICE_GROUPS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+#: Groups of a slice: so many that slices of few shingles seldom have the same counts by chance.
+_SLICE_GROUPS = 1 << 20
+_SPREAD = np.uint64(0xD1342543DE82EF95)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -70,7 +71,7 @@ def slice_keys(s: np.ndarray, percent: int) -> np.ndarray:
         for seed in range(1 + (m <= 8)):
             h = mix(s + _A) if seed else s
             place = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            weight = _WEIGHT[(mix(h ^ _B) & np.uint64(_SLICE_GROUPS - 1)).astype(np.int64)]
+            weight = mix(((mix(h ^ _B) & np.uint64(_SLICE_GROUPS - 1)) + np.uint64(1)) * _SPREAD)  # a slice's sum of these tells its counts
             if seed:
                 order = np.argsort(place, kind="stable")
                 place, weight = place[order], weight[order]
