@@ -447,6 +447,8 @@ def _blocks(media: list[bytes], streams: list[Stream], ranges: list[tuple[int, i
         for i, a, b in todo:
             s = streams[i]
             offsets = np.append(s.points["o"].astype(np.int64), len(media[i]) - s.first)[a : b + 1]
+            if (np.diff(offsets) < 8).any() or offsets[0] < 0 or s.first + offsets[-1] > len(media[i]):
+                raise ValueError("the seek table's offsets are wrong")
             piece = np.frombuffer(media[i], np.uint8, int(offsets[-1] - offsets[0]), s.first + int(offsets[0]))
             pieces.append(piece)
             starts.append(offsets[:-1] - offsets[0] + at)
