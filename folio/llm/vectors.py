@@ -1,11 +1,12 @@
 """Embedding near-dedup (operator 5): spherical k-means cells, blocked cosine products within cells.
 
-Centres are fitted on a bounded sample (MAX_FIT vectors, by hash of the id); every
-vector is assigned to its PROBES nearest cells, and pairs that share a cell are
-compared. A pair that shares several is counted in the first of them. Cells are
-cut into blocks of BLOCK vectors and compared block by block, so that a cell with a
-third of all vectors is many tasks; a block pair gives counts of links and a
-spanning forest, never its pairs.
+Equal vectors are one point, which counts for its copies. Centres are fitted on a
+bounded sample (MAX_FIT points, by hash of the id); every point is assigned to its
+PROBES nearest cells, and pairs that share a cell are compared. A pair that shares
+several is counted in the first of them. Cells are cut into blocks of BLOCK points
+and compared block by block, STRIP rows at a time, so that a cell with a third of
+all points is many tasks; a block pair gives counts of links and a spanning forest,
+never its pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from folio.llm.common import components, written
 
 MAX_FIT = 20_000
 MAX_CELLS = 8_192
-CELL, BLOCK, PROBES = 1_500, 1_024, 4
+CELL, BLOCK, STRIP, PROBES = 1_500, 4_096, 256, 4
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -35,11 +36,15 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def _find(parent: np.ndarray, i: int) -> int:
-    while parent[i] != i:
-        parent[i] = parent[parent[i]]
-        i = parent[i]
-    return i
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Enter links a-b into the labels: each row's label is the first row of its group."""
+    while len(a):
+        x, y = label[a], label[b]
+        apart = x != y
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while ((jump := label[label]) != label).any():
+            label[:] = jump
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
@@ -49,8 +54,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(col).cast("array<double>").alias("v")).where("vec_id is not null").dropDuplicates(["vec_id"])
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
-    rows = written(rows.select("vec_id", F.when(F.coalesce(good, F.lit(False)), F.col("v")).alias("v")))
-    valid = rows.where("v is not null")
+    v = F.when(F.coalesce(good, F.lit(False)), F.col("v"))
+    rows = written(rows.select("vec_id", v.alias("v")).withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v"))))
+    classes = written(rows.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
+    valid = written(rows.select("vec_id", "v").join(classes.select("vec_id", "copies"), "vec_id"))
     by_length = valid.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if by_length is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -63,25 +70,26 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
 
     @F.pandas_udf("array<int>")
     def cells(vs: pd.Series) -> pd.Series:
-        out = []
-        for v in vs:
-            if len(v) != dim:
-                out.append([-len(v)])
-                continue
-            v = v / np.abs(v).max()
-            c = centres @ v
-            near = np.argpartition(-c, min(PROBES, len(c)) - 1)[:PROBES]
-            out.append(sorted(int(i) for i in near))
+        size = vs.map(len).to_numpy(dtype=int)
+        out = [[-int(n)] for n in size]
+        probes = min(PROBES, len(centres))
+        own = np.flatnonzero(size == dim)
+        for at in range(0, len(own), STRIP):
+            some = own[at : at + STRIP]
+            x = np.stack([vs.iat[r] for r in some])
+            c = (x / np.abs(x).max(1, keepdims=True)) @ centres.T
+            for r, near in zip(some, np.sort(np.argpartition(-c, probes - 1, axis=1)[:, :probes], 1), strict=True):
+                out[r] = near.tolist()
         return pd.Series(out)
 
-    placed = written(valid.select("vec_id", "v", cells("v").alias("cells")))
-    spread = placed.select("vec_id", "v", "cells", F.explode("cells").alias("cell"))
+    placed = written(valid.select("vec_id", "v", "copies", cells("v").alias("cells")))
+    spread = placed.select("vec_id", "v", "copies", "cells", F.explode("cells").alias("cell"))
     blocks = spread.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))  # a row for each cell: at most MAX_CELLS and the lengths
     spread = spread.join(blocks, "cell").withColumn("_i", F.pmod(F.xxhash64("vec_id"), F.col("_n")).cast("int"))
-    spread = spread.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("vec_id", "v", "cells", "cell", F.col("_i").alias("own"), F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
+    spread = spread.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("vec_id", "v", "copies", "cells", "cell", F.col("_i").alias("own"), F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, own = table["vec_id"].to_numpy(), table["own"].to_numpy()
+        ids, own, copies = (table[c].to_numpy() for c in ("vec_id", "own", "copies"))
         cell, i, j = (table[c][0].as_py() for c in ("cell", "i", "j"))
         v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         v = v / np.abs(v).max(1, keepdims=True)
@@ -89,30 +97,30 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
         of = np.array([[*c, *[1 << 30] * (PROBES - len(c))] for c in table["cells"].to_pylist()])
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
-        a, b = np.nonzero(v[left] @ v[right].T >= least)
-        a, b = left[a], right[b]
-        if i == j:
-            a, b = a[a < b], b[a < b]
-        if len(a):  # the first cell that both have
-            both = (of[a][:, :, None] == of[b][:, None, :]).any(2)
-            first = np.where(both, of[a], 1 << 30).min(1)
-            a, b = a[first == cell], b[first == cell]
-        links = np.bincount(np.concatenate((a, b)), minlength=len(ids))
-        parent = np.arange(len(ids))
         order = np.argsort(ids, kind="stable")
         rank = np.empty(len(ids), int)
         rank[order] = np.arange(len(ids))
-        for p, q in zip(rank[a], rank[b], strict=True):
-            p, q = _find(parent, p), _find(parent, q)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-        roots = np.array([_find(parent, r) for r in rank], int) if len(ids) else rank
+        label, links = np.arange(len(ids)), np.zeros(len(ids))
+        for at in range(0, len(left), STRIP):
+            a, b = np.nonzero(v[left[at : at + STRIP]] @ v[right].T >= least)
+            a, b = left[at + a], right[b]
+            if i == j:
+                a, b = a[a < b], b[a < b]
+            if len(a):  # the first cell that both have
+                both = (of[a][:, :, None] == of[b][:, None, :]).any(2)
+                first = np.where(both, of[a], 1 << 30).min(1)
+                a, b = a[first == cell], b[first == cell]
+            links += np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
+            merge(label, rank[a], rank[b])
         keep = links > 0
-        return pa.table({"vec_id": pa.array(ids[keep]), "n": pa.array(links[keep].astype(np.int64)), "root": pa.array(ids[order[roots[keep]]])})
+        return pa.table({"vec_id": pa.array(ids[keep]), "n": pa.array(links[keep].astype(np.int64)), "root": pa.array(ids[order[label[rank[keep]]]])})
 
     found = written(spread.groupBy("cell", "i", "j").applyInArrow(compare, "vec_id long, n long, root long"))
     comp = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    out = rows.select("vec_id").join(links, "vec_id", "left").join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"))
+    told = classes.join(links, "vec_id", "left").join(comp.withColumnRenamed("id", "vec_id"), "vec_id", "left").where("copies > 1 or n is not null")
+    # written, so that the join has an exchange on either side and can split a frequent vector
+    told = written(told.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id")))
+    out = rows.select("vec_id", "h1", "h2").join(told, ["h1", "h2"], "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

@@ -144,6 +144,7 @@ def test_op5(spark, sf_dir):
 
 def test_op5_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 16)
+    monkeypatch.setattr(vectors, "STRIP", 7)
     monkeypatch.setattr(vectors, "CELL", 40)
     rng = np.random.default_rng(4)
     x = rng.normal(size=(20, 32))
@@ -154,6 +155,24 @@ def test_op5_many_blocks(spark, monkeypatch):
     assert [got[i] for i in range(300)] == near.tolist()
 
 
+def test_op5_copies(spark):
+    """Copies count as links of each other and of what any of them links to."""
+    x = {7: [1.0, 0.0], 3: [1.0, 0.0], 9: [1.0, 0.0], 4: [1.0, 0.1], 5: [0.0, 1.0], 6: [0.0, 1.0], 8: [-1.0, 0.2]}
+    got = {r[0]: tuple(r)[1:] for r in vectors.near_duplicates(spark.createDataFrame(list(x.items()), "vec_id long, embedding array<double>")).collect()}
+    assert got == {3: (3, 3, True), 7: (3, 3, False), 9: (3, 3, False), 4: (3, 3, False), 5: (1, 5, True), 6: (1, 5, False), 8: (0, 8, True)}
+
+
+def test_merge():
+    rng = np.random.default_rng(6)
+    for n, m in ((50, 20), (50, 200), (200, 150)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        label = np.arange(n)
+        for at in range(0, m, 30):
+            vectors.merge(label, a[at : at + 30], b[at : at + 30])
+        comp = brute.least_linked(range(n), list(zip(a.tolist(), b.tolist())))
+        assert label.tolist() == [comp[i] for i in range(n)]
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert spans.remove_bytes(none).count() == spans.remove_words(none).count() == jaccard.join(none).count() == lines.dedup(none).count() == lines.report(none).count() == 0
