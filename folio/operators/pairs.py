@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
+from folio.plans.cut import kept
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def similar_pairs(docs: DataFrame, percent: int = 50) -> DataFrame:
 
     Each document is indexed by its rarest shingles alone, so many that no pair within the threshold can miss each other; a shingle of many documents is rarely among them.
     """
-    sets = shingle_sets(docs).where("size(s) > 0").select("doc_id", F.transform("s", lambda x: F.xxhash64(x)).alias("h"))
+    sets = kept(shingle_sets(docs).select("doc_id", F.transform("s", lambda x: F.xxhash64(x)).alias("h")).where("size(h) > 0"))  # read four times below
     rows = sets.select("doc_id", F.size("h").alias("n"), F.explode("h").alias("x"))
     frequency = rows.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
     ranked = rows.join(frequency, "x").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "x")))
