@@ -12,6 +12,8 @@ with the key's other components.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("line"))
 
 
-def keys_of(line: Column, edits: int) -> Column:
-    """Index and probe keys of a line: structs of key and whether it is the index's."""
-    n = F.char_length(line)
+def keys_of(line: Column, n: Column, edits: int) -> list[tuple[str, Column, bool]]:
+    """Names, columns and kinds of a line's keys, n its length: those of the index, which lines of the same length probe as well, and those that only probe."""
     out = []
 
     def segment(length: Column, i: int) -> tuple[Column, Column]:
@@ -50,23 +51,43 @@ def keys_of(line: Column, edits: int) -> Column:
             for shift in range(low, high + 1):
                 key = F.xxhash64(F.substring(line, start + 1 + shift, size), length, F.lit(i))
                 ok = (length > edits) & (start + shift >= 0)
-                out.append(F.when(ok, F.struct(key.alias("key"), F.lit(False).alias("index"))))
-                if delta == 0 and shift == 0:
-                    out.append(F.when(ok, F.struct(key.alias("key"), F.lit(True).alias("index"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+                out.append((f"k{len(out)}", F.when(ok, key), delta == 0 and shift == 0))
+    return out
 
 
-def within_edits(a: Column, b: Column, edits: int) -> Column:
-    """Whether the edit distance of two strings is at most `edits` (up to 5). a is read a character at a time; bit d of state e says that with e edits the band's diagonal d - edits is reached."""
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _alike(x: Column, y: Column, most: Column, end: bool) -> Column:
+    """How many characters, up to `most`, x and y share from the start (or the end), by halving."""
+
+    def grow(got: Column, power: Column) -> Column:
+        more = (got + F.call_function("shiftleft", F.lit(1), power)).cast("int")
+        part = [F.substring(s, -more if end else F.lit(1), more) for s in (x, y)]
+        return F.when((more <= most) & (part[0] == part[1]), more).otherwise(got)
+
+    powers = F.sequence(F.floor(F.log2(F.greatest(most, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+    return F.aggregate(powers, F.lit(0), grow)
+
+
+#: Characters after which a band that no state has reached is given up.
+_HEAD = 16
+
+
+def _banded(a: Column, b: Column, n: Column, m: Column, edits: int) -> Column:
+    """within_edits of strings of n and m characters, without a search for shared ends."""
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    n, m = F.char_length(a), F.char_length(b)
     start = [sum(1 << (edits + d) for d in range(e + 1)) for e in range(edits + 1)]
     first = F.struct(*[F.lit(s).cast("int").alias(f"e{e}") for e, s in enumerate(start)])
-    # a's characters, each beside those of b within the band: one array, made once
     gap = F.array_repeat(F.lit(None).cast("string"), edits)
-    y = F.concat(gap, F.split(b, "")) if edits else F.split(b, "")
-    band = F.slice(F.arrays_zip(F.split(a, "").alias("c"), *[F.slice(y, d + 1, F.greatest(n, F.lit(1))).alias(f"y{d}") for d in range(width)]), 1, F.greatest(n, F.lit(1)))
+    chars = F.struct(F.split(a, "").alias("x"), (F.concat(gap, F.split(b, "")) if edits else F.split(b, "")).alias("y"))
+
+    def band(c: Column, begin: int, size: Column) -> Column:
+        """a's characters, each beside those of b within the band."""
+        return F.arrays_zip(F.slice(c["x"], begin, size).alias("c"), *[F.slice(c["y"], begin + d, size).alias(f"y{d}") for d in range(width)])
 
     def step(state: Column, at: Column) -> Column:
         same = None
@@ -82,33 +103,60 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
             new.append(r.cast("int"))
         return F.struct(*[v.alias(f"e{e}") for e, v in enumerate(new)])
 
-    done = F.aggregate(F.when(n > 0, band).otherwise(F.slice(band, 1, 0)), first, step)
-    return (F.abs(m - n) <= edits) & (F.call_function("shiftright", done[f"e{edits}"], F.greatest(m - n + edits, F.lit(0)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    def rest(c: Column, state: Column) -> Column:
+        done = F.when((n > _HEAD) & (state[f"e{edits}"] != 0), F.aggregate(band(c, 1 + _HEAD, F.greatest(n - _HEAD, F.lit(0))), state, step)).otherwise(state)
+        return F.call_function("shiftright", done[f"e{edits}"], F.greatest(m - n + edits, F.lit(0)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return (F.abs(m - n) <= edits) & _bind(chars, lambda c: _bind(F.aggregate(band(c, 1, F.least(n, F.lit(_HEAD))), first, step), lambda state: rest(c, state)))
+
+
+def within_edits(a: Column, b: Column, edits: int) -> Column:
+    """Whether the edit distance of two strings is at most `edits` (up to 5). Shared starts and ends are cut off; the rest of a is read a character at a time; bit d of state e says that with e edits the band's diagonal d - edits is reached."""
+
+    def middle(v: Column) -> Column:
+        def after(p: Column) -> Column:
+            cut = F.struct(F.substring(v["x"], p + 1, v["n"] - p).alias("x"), F.substring(v["y"], p + 1, v["m"] - p).alias("y"), (v["n"] - p).alias("n"), (v["m"] - p).alias("m"))
+            return _bind(cut, lambda w: _bind(_alike(w["x"], w["y"], F.least(w["n"], w["m"]), True), lambda q: between(w, q)))
+
+        def between(w: Column, q: Column) -> Column:
+            own = F.struct(F.substring(w["x"], F.lit(1), w["n"] - q).alias("x"), F.substring(w["y"], F.lit(1), w["m"] - q).alias("y"), (w["n"] - q).alias("n"), (w["m"] - q).alias("m"))
+            return _bind(own, lambda r: _banded(r["x"], r["y"], r["n"], r["m"], edits))
+
+        return (F.abs(v["n"] - v["m"]) <= edits) & _bind(_alike(v["x"], v["y"], F.least(v["n"], v["m"]), False), after)
+
+    return _bind(F.struct(a.alias("x"), b.alias("y"), F.char_length(a).alias("n"), F.char_length(b).alias("m")), middle)
 
 
 def _links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
     """Those of pairs (a, b) of line hashes whose lines are within the edits."""
-    ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    ids = written(ids)
-    text = maybe_in(lines.select("h", "line"), ids, "h").join(ids, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    text = written(text)
+    ids = written(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
+    text = written(maybe_in(lines.select("h", "line"), ids, "h").join(ids, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
     both = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return both.where(within_edits(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Of lines that equal, or are linked to, others: h and class (a line hash). Lines linked to none but themselves have no row."""
+def keyed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """doc_id, pos, h of the lines that take part, and their keys (k0, k1, ...)."""
+    rows = lines_of(docs).withColumn("n", F.char_length("line"))
+    return rows.select("doc_id", "pos", "h", *[key.alias(name) for name, key, _ in keys_of(F.col("line"), F.col("n"), edits)])
+
+
+def line_classes(docs: DataFrame, rows: DataFrame, edits: int = EDITS) -> DataFrame:
+    """Of lines that equal, or are linked to, others: h and class (a line hash). rows: keyed_lines of docs. Lines linked to none but themselves have no row."""
     lines = lines_of(docs)
-    keyed = written(lines.select("h", F.explode(keys_of(F.col("line"), edits)).alias("k")).select("h", "k.key", "k.index"))
-    shared = keyed.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("last"), F.max("index").alias("any")).where("any and lead <> last").select("key", "lead")
-    members = written(keyed.join(shared, "key").distinct())
+    kinds = [(name, index) for name, _, index in keys_of(F.lit(""), F.lit(0), edits)]
+    # equal lines once, so that a frequent line is one member of its keys
+    once = written(rows.groupBy("h").agg(*[F.min(name).alias(name) for name, _ in kinds]))
+    keyed = once.select("h", F.explode(F.array(*[F.struct(F.col(name).alias("key"), F.lit(index).alias("index")) for name, index in kinds])).alias("k")).select("h", "k.key", "k.index").where("key is not null")
+    shared = written(keyed.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("last"), F.max("index").alias("any")).where("any and lead <> last").select("key", "lead"))
+    members = written(maybe_in(keyed, shared, "key").join(shared, "key"))
     links = written(_links(members.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct(), lines, edits))
     comp = written(components(links))
-    # keys that still hold several components: an index line against a probing line of another component
+    # keys that still hold several components: an index line against a line of another component
     known = members.join(comp.withColumnRenamed("id", "h"), "h", "left").select("key", "h", "index", "lead", F.coalesce("comp", "h").alias("comp"))
     mixed = known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi and _n > 2").select("key")
     known = written(known.join(mixed, "key"))
-    a, b = known.where("index").select("key", F.col("h").alias("a"), F.col("comp").alias("ca"), "lead"), known.where("not index").select("key", F.col("h").alias("b"), F.col("comp").alias("cb"))
+    a, b = known.where("index").select("key", F.col("h").alias("a"), F.col("comp").alias("ca"), "lead"), known.select("key", F.col("h").alias("b"), F.col("comp").alias("cb"))
     more = a.join(b, "key").where("ca <> cb and a <> lead and b <> lead").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = written(_links(written(more), lines, edits))
     return components(links.union(more)).select(F.col("id").alias("h"), F.col("comp").alias("class"))
@@ -116,9 +164,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id and pos of lines that go: of equal and linked lines, all but the first by doc_id and place."""
-    classes = written(line_classes(docs, edits))
-    rows = lines_of(docs).select("doc_id", "pos", "h")
-    near = rows.join(classes, "h", "left").select("doc_id", "pos", F.coalesce("class", "h").alias("class"))
+    rows = written(keyed_lines(docs, edits))
+    classes = written(line_classes(docs, rows, edits))
+    near = rows.select("doc_id", "pos", "h").join(classes, "h", "left").select("doc_id", "pos", F.coalesce("class", "h").alias("class"))
     first = near.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
     return near.join(first, "class").where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
 

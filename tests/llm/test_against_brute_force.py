@@ -100,6 +100,14 @@ def test_edit_distance(spark, most):
             at = rng.randrange(0, len(b) + 1)
             b[at : at + rng.randrange(0, 2)] = rng.choice(["", "a", "b", "é"])
         pairs.append(("".join(a), "".join(b)))
+    for _ in range(200):  # long middles: edits far apart, and texts that differ late
+        a = [rng.choice("abcé") for _ in range(rng.randrange(20, 90))]
+        b = list(a)
+        for _ in range(rng.randrange(0, most + 2)):
+            at = rng.randrange(0, len(b) + 1)
+            b[at : at + rng.randrange(0, 2)] = rng.choice(["", "a", "\U0001f600"])
+        pairs.append(("".join(a), "".join(b)))
+    pairs += [("", ""), ("a", ""), ("", "a"), ("abab", "ababab"), ("aaaa", "aaa"), ("x" * 300, "x" * 301)]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.within_edits(F.col("a"), F.col("b"), most)).collect()
     assert [r[2] for r in got] == [brute.edits(r[0], r[1]) <= most for r in got]
 
@@ -118,9 +126,11 @@ def test_line_keys_meet(spark):
                 at = rng.randrange(0, len(b) + 1)
                 b[at : at + rng.randrange(0, 2)] = rng.choice(["", "x"])
             pairs.append((a, "".join(b)))
-        for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", lines.keys_of(F.col("a"), most), lines.keys_of(F.col("b"), most)).collect():
-            one, two = ({(k["key"], k["index"]) for k in x} for x in r[2:])
-            assert any((k, not i) in two or (k, i) in two for k, i in one), (r[0], r[1])
+        kinds = [index for _, _, index in lines.keys_of(F.lit(""), F.lit(0), most)]
+        both = [F.array(*[k for _, k, _ in lines.keys_of(F.col(c), F.char_length(c), most)]) for c in "ab"]
+        for a, b, one, two in spark.createDataFrame(pairs, "a string, b string").select("a", "b", *both).collect():
+            index = [{k for k, i in zip(x, kinds, strict=True) if i and k is not None} for x in (one, two)]
+            assert index[0] & set(two) or index[1] & set(one), (a, b)
 
 
 def test_op5(spark, sf_dir):
