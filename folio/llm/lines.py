@@ -6,13 +6,14 @@ The index holds the segments under the line's length and the segment's number;
 lines probe it with the substrings of theirs that can match there. Lines that
 meet are verified by a banded edit distance whose states, one for each number of
 edits, are bit sets over the band's diagonals and advance by shifts and masks.
-Links go to one line of each key first; what that leaves unlinked is compared
-with the key's other components.
+Links go to one line of each key first; what that leaves unlinked is cut into
+segments again without the shared one, so that no key's lines are all paired.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from folio.llm.common import components, maybe_in, written
 EDITS = 1
 #: Lines with fewer words stay as they are.
 LEAST_WORDS = 5
+#: Lines under one key that are paired rather than dealt by further keys.
+FEW = 8
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -31,8 +34,16 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("line"))
 
 
-def keys_of(line: Column, n: Column, edits: int) -> list[tuple[str, Column, bool]]:
-    """Names, columns and kinds of a line's keys, n its length: those of the index, which lines of the same length probe as well, and those that only probe."""
+class Slot(NamedTuple):
+    """One key of a line: the index's, which lines of the same length probe as well, or one that only probes; and the line without the key's segment."""
+
+    key: Column
+    index: bool
+    rest: Column
+
+
+def slots_of(line: Column, n: Column, edits: int, *context: Column) -> list[Slot]:
+    """The keys of a line of n characters within a context. Two lines within the edits share a key, one of them as index, and so do their rests within it."""
     out = []
 
     def segment(length: Column, i: int) -> tuple[Column, Column]:
@@ -49,9 +60,10 @@ def keys_of(line: Column, n: Column, edits: int) -> list[tuple[str, Column, bool
             left = i  # at most i edits before segment i, edits - i after it
             low, high = max(-left, delta - (edits - i)), min(left, delta + (edits - i))
             for shift in range(low, high + 1):
-                key = F.xxhash64(F.substring(line, start + 1 + shift, size), length, F.lit(i))
-                ok = (length > edits) & (start + shift >= 0)
-                out.append((f"k{len(out)}", F.when(ok, key), delta == 0 and shift == 0))
+                at = start + shift
+                key = F.xxhash64(*context, F.substring(line, at + 1, size), length, F.lit(i))
+                rest = F.concat(F.substring(line, F.lit(1), at), F.substring(line, at + size + 1, n))
+                out.append(Slot(F.when((length > edits) & (at >= 0), key), delta == 0 and shift == 0, rest))
     return out
 
 
@@ -127,10 +139,8 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return _bind(F.struct(a.alias("x"), b.alias("y"), F.char_length(a).alias("n"), F.char_length(b).alias("m")), middle)
 
 
-def _links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
-    """Those of pairs (a, b) of line hashes whose lines are within the edits."""
-    ids = written(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
-    text = written(maybe_in(lines.select("h", "line"), ids, "h").join(ids, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
+def _links(pairs: DataFrame, text: DataFrame, edits: int) -> DataFrame:
+    """Those of pairs (a, b) of line hashes whose lines, of text (h, line), are within the edits."""
     both = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("x")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("y")), "b")
     return both.where(within_edits(F.col("x"), F.col("y"), edits)).select("a", "b")
 
@@ -138,28 +148,62 @@ def _links(pairs: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
 def keyed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """doc_id, pos, h of the lines that take part, and their keys (k0, k1, ...)."""
     rows = lines_of(docs).withColumn("n", F.char_length("line"))
-    return rows.select("doc_id", "pos", "h", *[key.alias(name) for name, key, _ in keys_of(F.col("line"), F.col("n"), edits)])
+    return rows.select("doc_id", "pos", "h", *[s.key.alias(f"k{j}") for j, s in enumerate(slots_of(F.col("line"), F.col("n"), edits))])
+
+
+def _by_key(rows: DataFrame, keys: list[Column], *cols: str) -> DataFrame:
+    """A row for each key that is not null, with the number of its slot."""
+    each = F.explode(F.array(*[F.struct(k.alias("key"), F.lit(j).alias("slot")) for j, k in enumerate(keys)])).alias("k")
+    return rows.select(*cols, each).select(*cols, "k.key", "k.slot").where("key is not null")
+
+
+def _members(keyed: DataFrame, index: list[int]) -> DataFrame:
+    """The rows of keys under which an index line meets another, with the key's smallest index line as lead."""
+    ends = keyed.groupBy("key").agg(F.min(F.when(F.col("slot").isin(index), F.col("h"))).alias("lead"), F.min("h").alias("_lo"), F.max("h").alias("_hi"))
+    shared = written(ends.where("lead is not null and _lo <> _hi").select("key", "lead"))
+    return written(maybe_in(keyed, shared, "key").join(shared, "key"))
 
 
 def line_classes(docs: DataFrame, rows: DataFrame, edits: int = EDITS) -> DataFrame:
-    """Of lines that equal, or are linked to, others: h and class (a line hash). rows: keyed_lines of docs. Lines linked to none but themselves have no row."""
-    lines = lines_of(docs)
-    kinds = [(name, index) for name, _, index in keys_of(F.lit(""), F.lit(0), edits)]
+    """Of lines that equal, or are linked to, others: h and class (a line hash). rows: keyed_lines of docs. Lines linked to none but themselves have no row.
+
+    A key's lines are compared with its lead. Where that leaves several components, and more than FEW lines, the lines' rests (without the shared segment) are cut into segments again, within that key, and so on: work grows with the lines of a key, not with their pairs, however many share a key. FEW lines, and rests of at most 2 * `edits` characters, are compared as they are; lines that share all but so little are bounded by the alphabet.
+    """
+    kinds = slots_of(F.lit(""), F.lit(0), edits)
+    index = [j for j, s in enumerate(kinds) if s.index]
     # equal lines once, so that a frequent line is one member of its keys
-    once = written(rows.groupBy("h").agg(*[F.min(name).alias(name) for name, _ in kinds]))
-    keyed = once.select("h", F.explode(F.array(*[F.struct(F.col(name).alias("key"), F.lit(index).alias("index")) for name, index in kinds])).alias("k")).select("h", "k.key", "k.index").where("key is not null")
-    shared = written(keyed.groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("last"), F.max("index").alias("any")).where("any and lead <> last").select("key", "lead"))
-    members = written(maybe_in(keyed, shared, "key").join(shared, "key"))
-    links = written(_links(members.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct(), lines, edits))
+    once = written(rows.groupBy("h").agg(*[F.min(f"k{j}").alias(f"k{j}") for j in range(len(kinds))]))
+    members = _members(_by_key(once, [F.col(f"k{j}") for j in range(len(kinds))], "h"), index)
+    pairs = written(members.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct())
+    ids = written(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
+    lines = lines_of(docs).select("h", "line")
+    text = written(maybe_in(lines, ids, "h").join(ids, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
+    links = written(_links(pairs, text, edits))
     comp = written(components(links))
-    # keys that still hold several components: an index line against a line of another component
-    known = members.join(comp.withColumnRenamed("id", "h"), "h", "left").select("key", "h", "index", "lead", F.coalesce("comp", "h").alias("comp"))
-    mixed = known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi and _n > 2").select("key")
-    known = written(known.join(mixed, "key"))
-    a, b = known.where("index").select("key", F.col("h").alias("a"), F.col("comp").alias("ca"), "lead"), known.select("key", F.col("h").alias("b"), F.col("comp").alias("cb"))
-    more = a.join(b, "key").where("ca <> cb and a <> lead and b <> lead").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = written(_links(written(more), lines, edits))
-    return components(links.union(more)).select(F.col("id").alias("h"), F.col("comp").alias("class"))
+    whole = True  # whether keys are of whole lines, not of rests
+    while True:
+        known = members.join(comp.withColumnRenamed("id", "h"), "h", "left").withColumn("comp", F.coalesce("comp", "h"))
+        mixed = known.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi and _n > 2").select("key", (F.col("_n") <= FEW).alias("few"))
+        known = known.join(mixed, "key")
+        part = F.col("line" if whole else "rest")
+        known = known.join(text, "h") if whole else known
+        cut = F.coalesce(*[F.when(F.col("slot") == j, s.rest) for j, s in enumerate(slots_of(part, F.char_length(part), edits))])
+        rests = written(known.select(F.col("key").alias("within"), "h", "comp", "few", F.col("slot").isin(index).alias("index"), cut.alias("rest")).withColumn("n", F.char_length("rest")))
+        a = rests.where(F.when(F.col("few"), F.col("index")).otherwise(F.col("n") <= edits)).select("within", F.col("h").alias("a"), F.col("comp").alias("ca"))
+        b = rests.where(F.col("few") | (F.col("n") <= 2 * edits)).select("within", F.col("h").alias("b"), F.col("comp").alias("cb"))
+        pairs = a.join(b, "within").where("ca <> cb").select("a", "b")
+        more = rests.where(~F.col("few") & (F.col("n") > edits))
+        deeper = not more.isEmpty()
+        if deeper:
+            keys = [s.key for s in slots_of(F.col("rest"), F.col("n"), edits, F.col("within"))]
+            members = _members(_by_key(more, keys, "h", "rest"), index)
+            pairs = pairs.union(members.where("h <> lead").select("h", "lead"))
+        links = written(_links(written(pairs.distinct()), text, edits))
+        if not links.isEmpty():
+            comp = written(components(comp.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(links)))
+        if not deeper:
+            return comp.select(F.col("id").alias("h"), F.col("comp").alias("class"))
+        whole = False
 
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:

@@ -87,6 +87,20 @@ def test_op4(spark, tables, name):
         assert report[i] == (n, n - kept, brute.sha((want[i] or "").encode())), (i, t)
 
 
+def test_op4_refines_keys_of_many_lines(spark, monkeypatch):
+    """Lines of one length that share all but a small part, in many components."""
+    monkeypatch.setattr(lines, "FEW", 2)
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        mark = "".join(rng.choice("abcd") for _ in range(rng.choice([3, 6, 6, 6, 7])))
+        rows.append((i, rng.choice(["{} one two three four five six", "one two three {} four five six", "one two three four five six {}"]).format(mark)))
+    rows += [(200 + i, "seven eight nine ten eleven twelve " + c) for i, c in enumerate(["a", "b", "ab", "bcd", "xy", "", "é"])]
+    want = brute.line_dedup(rows)
+    got = {r[0]: r[1] for r in lines.dedup(frame(spark, rows)).select("doc_id", "text").collect()}
+    assert got == {i: t for i, t in want.items() if t is not None}
+
+
 @pytest.mark.parametrize("most", [0, 1, 2, 3])
 def test_edit_distance(spark, most):
     from pyspark.sql import functions as F
@@ -126,8 +140,8 @@ def test_line_keys_meet(spark):
                 at = rng.randrange(0, len(b) + 1)
                 b[at : at + rng.randrange(0, 2)] = rng.choice(["", "x"])
             pairs.append((a, "".join(b)))
-        kinds = [index for _, _, index in lines.keys_of(F.lit(""), F.lit(0), most)]
-        both = [F.array(*[k for _, k, _ in lines.keys_of(F.col(c), F.char_length(c), most)]) for c in "ab"]
+        kinds = [s.index for s in lines.slots_of(F.lit(""), F.lit(0), most)]
+        both = [F.array(*[s.key for s in lines.slots_of(F.col(c), F.char_length(c), most)]) for c in "ab"]
         for a, b, one, two in spark.createDataFrame(pairs, "a string, b string").select("a", "b", *both).collect():
             index = [{k for k, i in zip(x, kinds, strict=True) if i and k is not None} for x in (one, two)]
             assert index[0] & set(two) or index[1] & set(one), (a, b)
