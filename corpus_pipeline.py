@@ -15,8 +15,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without lines that repeat, but for an edit, an earlier line of five words or more."""
-    return lines.dedup(docs)
+    """Without lines that repeat, but for an edit, an earlier line; blank lines stay."""
+    return lines.dedup(docs, least_words=1)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

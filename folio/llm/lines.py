@@ -8,6 +8,7 @@ meet are verified by a banded edit distance whose states, one for each number of
 edits, are bit sets over the band's diagonals and advance by shifts and masks.
 Links go to one line of each key first; what that leaves unlinked is cut into
 segments again without the shared one, so that no key's lines are all paired.
+Lines too short for segments meet by their characters.
 """
 
 from __future__ import annotations
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 from folio.llm.common import components, maybe_in, written
 
 EDITS = 1
-#: Lines with fewer words stay as they are.
+#: Lines with fewer words stay as they are, unless the caller says otherwise; the query and the pipeline let every line with a word take part.
 LEAST_WORDS = 5
 #: Lines under one key that are paired rather than dealt by further keys.
 FEW = 8
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, pos, line (split at line feeds), h for lines that take part: those with LEAST_WORDS words, of documents with an id."""
+def lines_of(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, pos, line (split at line feeds), h for lines that take part: those with that many words, of documents with an id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("pos", "line"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("line").rlike(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (LEAST_WORDS - 1)))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("line").rlike(r"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}[^\x20\x09-\x0D]" % (least_words - 1)))
     return rows.withColumn("h", F.xxhash64("line"))
 
 
@@ -67,6 +68,23 @@ def slots_of(line: Column, n: Column, edits: int, *context: Column) -> list[Slot
     return out
 
 
+def short_slots(line: Column, n: Column, edits: int) -> list[Slot]:
+    """The keys of a whole line by which it meets lines of at most `edits` characters, which have no segments. Those are all within the edits of each other; a longer line has at most twice as many characters and shares one of them."""
+    short = n <= edits
+    out = [Slot(F.when(short, F.xxhash64(F.lit("short"), F.lit(edits))), True, line)]
+    for i in range(2 * edits):
+        key = F.xxhash64(F.lit("short"), F.lit(edits), F.substring(line, i + 1, 1))
+        if i < edits:
+            out.append(Slot(F.when(short & (n > i), key), True, line))
+        out.append(Slot(F.when(~short & (n <= 2 * edits) & (n > i), key), False, line))
+    return out
+
+
+def line_slots(line: Column, n: Column, edits: int) -> list[Slot]:
+    """The keys of a whole line."""
+    return slots_of(line, n, edits) + short_slots(line, n, edits)
+
+
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -145,10 +163,10 @@ def _links(pairs: DataFrame, text: DataFrame, edits: int) -> DataFrame:
     return both.where(within_edits(F.col("x"), F.col("y"), edits)).select("a", "b")
 
 
-def keyed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def keyed_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, pos, h of the lines that take part, and their keys (k0, k1, ...)."""
-    rows = lines_of(docs).withColumn("n", F.char_length("line"))
-    return rows.select("doc_id", "pos", "h", *[s.key.alias(f"k{j}") for j, s in enumerate(slots_of(F.col("line"), F.col("n"), edits))])
+    rows = lines_of(docs, least_words).withColumn("n", F.char_length("line"))
+    return rows.select("doc_id", "pos", "h", *[s.key.alias(f"k{j}") for j, s in enumerate(line_slots(F.col("line"), F.col("n"), edits))])
 
 
 def _by_key(rows: DataFrame, keys: list[Column], *cols: str) -> DataFrame:
@@ -164,19 +182,19 @@ def _members(keyed: DataFrame, index: list[int]) -> DataFrame:
     return written(maybe_in(keyed, shared, "key").join(shared, "key"))
 
 
-def line_classes(docs: DataFrame, rows: DataFrame, edits: int = EDITS) -> DataFrame:
+def line_classes(docs: DataFrame, rows: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """Of lines that equal, or are linked to, others: h and class (a line hash). rows: keyed_lines of docs. Lines linked to none but themselves have no row.
 
     A key's lines are compared with its lead. Where that leaves several components, and more than FEW lines, the lines' rests (without the shared segment) are cut into segments again, within that key, and so on: work grows with the lines of a key, not with their pairs, however many share a key. FEW lines, and rests of at most 2 * `edits` characters, are compared as they are; lines that share all but so little are bounded by the alphabet.
     """
-    kinds = slots_of(F.lit(""), F.lit(0), edits)
+    kinds = line_slots(F.lit(""), F.lit(0), edits)
     index = [j for j, s in enumerate(kinds) if s.index]
     # equal lines once, so that a frequent line is one member of its keys
     once = written(rows.groupBy("h").agg(*[F.min(f"k{j}").alias(f"k{j}") for j in range(len(kinds))]))
     members = _members(_by_key(once, [F.col(f"k{j}") for j in range(len(kinds))], "h"), index)
     pairs = written(members.where("h <> lead").select(F.col("h").alias("a"), F.col("lead").alias("b")).distinct())
     ids = written(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct())
-    lines = lines_of(docs).select("h", "line")
+    lines = lines_of(docs, least_words).select("h", "line")
     text = written(maybe_in(lines, ids, "h").join(ids, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")))
     links = written(_links(pairs, text, edits))
     comp = written(components(links))
@@ -187,7 +205,7 @@ def line_classes(docs: DataFrame, rows: DataFrame, edits: int = EDITS) -> DataFr
         known = known.join(mixed, "key")
         part = F.col("line" if whole else "rest")
         known = known.join(text, "h") if whole else known
-        cut = F.coalesce(*[F.when(F.col("slot") == j, s.rest) for j, s in enumerate(slots_of(part, F.char_length(part), edits))])
+        cut = F.coalesce(*[F.when(F.col("slot") == j, s.rest) for j, s in enumerate((line_slots if whole else slots_of)(part, F.char_length(part), edits))])
         rests = written(known.select(F.col("key").alias("within"), "h", "comp", "few", F.col("slot").isin(index).alias("index"), cut.alias("rest")).withColumn("n", F.char_length("rest")))
         a = rests.where(F.when(F.col("few"), F.col("index")).otherwise(F.col("n") <= edits)).select("within", F.col("h").alias("a"), F.col("comp").alias("ca"))
         b = rests.where(F.col("few") | (F.col("n") <= 2 * edits)).select("within", F.col("h").alias("b"), F.col("comp").alias("cb"))
@@ -206,18 +224,18 @@ def line_classes(docs: DataFrame, rows: DataFrame, edits: int = EDITS) -> DataFr
         whole = False
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id and pos of lines that go: of equal and linked lines, all but the first by doc_id and place."""
-    rows = written(keyed_lines(docs, edits))
-    classes = written(line_classes(docs, rows, edits))
+    rows = written(keyed_lines(docs, edits, least_words))
+    classes = written(line_classes(docs, rows, edits, least_words))
     near = rows.select("doc_id", "pos", "h").join(classes, "h", "left").select("doc_id", "pos", F.coalesce("class", "h").alias("class"))
     first = near.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
     return near.join(first, "class").where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos")
 
 
-def without_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def without_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs with `text` as what remains of it, _lines and _gone: its lines and those that went."""
-    gone = written(repeated_lines(docs, edits).groupBy("doc_id").agg(F.collect_set("pos").alias("_at")))
+    gone = written(repeated_lines(docs, edits, least_words).groupBy("doc_id").agg(F.collect_set("pos").alias("_at")))
     cols = docs.columns
     split = F.split(F.col("text").cast("string"), "\n", -1)
     count = F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).alias("_lines")
@@ -229,15 +247,15 @@ def without_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     return hit.unionByName(rest.select(*[F.col(f"`{c}`") for c in cols], count, F.lit(0).alias("_gone")))
 
 
-def dedup(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def dedup(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs, with all columns, without the lines that go; a document that loses all its lines goes too.
 
-    Lines are split at line feeds and take part with LEAST_WORDS words or more; others stay. Linked lines form groups, of which the first by doc_id and place stays. Null and empty texts stay as they are, as do documents without an id. Rows that repeat an id are taken to be one document. Empty input: no rows.
+    Lines are split at line feeds and take part with that many words or more; others stay. Linked lines form groups, of which the first by doc_id and place stays. Null and empty texts stay as they are, as do documents without an id. Rows that repeat an id are taken to be one document. Empty input: no rows.
     """
-    return without_lines(docs, edits).where("_gone = 0 or _gone < _lines").drop("_lines", "_gone")
+    return without_lines(docs, edits, least_words).where("_gone = 0 or _gone < _lines").drop("_lines", "_gone")
 
 
-def report(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def report(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """Per row of docs: doc_id, n_lines, n_removed, kept_sha256 (of the remaining lines, joined by line feeds)."""
-    out = without_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), edits)
+    out = without_lines(docs.select("doc_id", F.col("text").cast("string").alias("text")), edits, least_words)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_lines").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -30,7 +30,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.report(table(spark, sf_dir, "documents"))
+    return lines.report(table(spark, sf_dir, "documents"), least_words=1)
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

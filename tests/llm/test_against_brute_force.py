@@ -101,6 +101,26 @@ def test_op4_refines_keys_of_many_lines(spark, monkeypatch):
     assert got == {i: t for i, t in want.items() if t is not None}
 
 
+@pytest.mark.parametrize("most", [1, 2])
+def test_op4_lines_of_any_length(spark, most):
+    """With one word as the least: exact and near copies of short lines, of long words, and of lines in scripts without spaces."""
+    rng = random.Random(12)
+    few = ["Home", "Menu", "home", "}", "{", "a", "b", "ab", "bc", "cd", "é", "一", "一二", "Terms of use", "Terms of use.", "https://example.org/" + "a" * 90, "https://example.org/" + "a" * 89 + "b", "一二三四五六七八九十" * 3, "一二三四五六七八九十" * 2 + "一二三四五六七八九", " ", "", "\t", "\u00a0"]
+    rows = [(i, "\n".join(rng.choice(few) for _ in range(rng.randrange(1, 5)))) for i in range(40)]
+    rows += [(100 + i, "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 5)))) for i in range(60)]
+    want = brute.line_dedup(rows, most, least_words=1)
+    got = {r[0]: r[1] for r in lines.dedup(frame(spark, rows), most, least_words=1).select("doc_id", "text").collect()}
+    assert got == {i: t for i, t in want.items() if t is not None}
+
+
+def test_op4_query_takes_every_line(spark, tables, sf_dir):
+    from folio.llm import queries
+
+    want = brute.line_dedup(tables["real"], least_words=1)
+    got = {r.doc_id: r.kept_sha256 for r in queries.op4_line_dedup(spark, sf_dir).collect()}
+    assert got == {i: brute.sha((want[i] or "").encode()) for i, _ in tables["real"]}
+
+
 @pytest.mark.parametrize("most", [0, 1, 2, 3])
 def test_edit_distance(spark, most):
     from pyspark.sql import functions as F
