@@ -1,12 +1,16 @@
-"""Embedding near-dedup (operator 5): spherical k-means cells, blocked cosine products within cells.
+"""Embedding near-dedup (operator 5): spherical k-means cells, blocked cosine products, cells left out only where a bound allows it.
 
 Equal vectors are one point, which counts for its copies. Centres are fitted on a
-bounded sample (MAX_FIT points, by hash of the id); every point is assigned to its
-PROBES nearest cells, and pairs that share a cell are compared. A pair that shares
-several is counted in the first of them. Cells are cut into blocks of BLOCK points
-and compared block by block, STRIP rows at a time, so that a cell with a third of
-all points is many tasks; a block pair gives counts of links and a spanning forest,
-never its pairs.
+bounded sample (MAX_FIT points, by hash of the id); every point belongs to its
+nearest cell and visits the others that may hold a partner. Two bounds rule cells
+out, and no pair with them: the angle to the cell's centre is more than the cell's
+radius and the pair's widest angle; or the point lies farther behind the plane
+between its own centre and the cell's than the sine of that angle. Of two cells
+one visits the other, so each pair is compared once. Members and visitors of a
+cell are cut into blocks of BLOCK points and compared block by block, STRIP rows
+at a time, so that a cell with a third of all points is many tasks; a block pair
+gives counts of links and a spanning forest, never its pairs. Where the bounds
+rule out little (vectors without clusters), all pairs are compared.
 """
 
 from __future__ import annotations
@@ -21,7 +25,9 @@ from folio.llm.common import components, written
 
 MAX_FIT = 20_000
 MAX_CELLS = 8_192
-CELL, BLOCK, STRIP, PROBES = 1_500, 4_096, 256, 4
+CELL, BLOCK, STRIP = 1_500, 4_096, 256
+#: What the bounds allow for rounding.
+SLACK = 1e-6
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -68,33 +74,67 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     centres = spherical_kmeans(x, min(len(x), MAX_CELLS, max(1, -(-count // CELL))))
 
-    @F.pandas_udf("array<int>")
-    def cells(vs: pd.Series) -> pd.Series:
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))
+    widest = np.arccos(np.clip(least, -1.0, 1.0)) + SLACK
+
+    def unit(vs: pd.Series) -> np.ndarray:
+        x = np.stack(vs.to_numpy())
+        x = x / np.abs(x).max(1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    @F.pandas_udf("cell int, angle double")
+    def nearest(vs: pd.Series) -> pd.DataFrame:
         size = vs.map(len).to_numpy(dtype=int)
-        out = [[-int(n)] for n in size]
-        probes = min(PROBES, len(centres))
+        cell, angle = -size, np.zeros(len(vs))
         own = np.flatnonzero(size == dim)
         for at in range(0, len(own), STRIP):
             some = own[at : at + STRIP]
-            x = np.stack([vs.iat[r] for r in some])
-            c = (x / np.abs(x).max(1, keepdims=True)) @ centres.T
-            for r, near in zip(some, np.sort(np.argpartition(-c, probes - 1, axis=1)[:, :probes], 1), strict=True):
-                out[r] = near.tolist()
+            c = unit(vs.iloc[some]) @ centres.T
+            cell[some] = c.argmax(1)
+            angle[some] = np.arccos(np.clip(c.max(1), -1, 1))
+        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": angle})
+
+    placed = written(valid.select("vec_id", "v", "copies", nearest("v").alias("at")).select("vec_id", "v", "copies", F.col("at.cell").alias("home"), F.col("at.angle").alias("angle")))
+    radius = np.full(len(centres), -np.inf)  # of cells without points, which nothing visits
+    for cell, most in placed.where("home >= 0").groupBy("home").agg(F.max("angle")).collect():  # at most MAX_CELLS rows
+        radius[cell] = most
+
+    @F.pandas_udf("array<int>")
+    def visits(vs: pd.Series, home: pd.Series) -> pd.Series:
+        out: list[list[int]] = [[] for _ in range(len(vs))]
+        own = np.flatnonzero(home.to_numpy() >= 0)
+        other = np.arange(len(centres))
+        for at in range(0, len(own), STRIP):
+            some = own[at : at + STRIP]
+            cell = home.iloc[some].to_numpy()
+            c = unit(vs.iloc[some]) @ centres.T
+            may = np.arccos(np.clip(c, -1, 1)) <= radius + widest
+            if widest < np.pi / 2:
+                may &= c[np.arange(len(some)), cell][:, None] - c <= (np.sin(widest) + SLACK) * apart[cell] + SLACK
+            # of two cells the lower visits the higher where their sum is odd, else the higher the lower
+            may &= (other != cell[:, None]) & ((cell[:, None] < other) == ((cell[:, None] + other) % 2 == 1))
+            for r, m in zip(some, may, strict=True):
+                out[r] = np.flatnonzero(m).tolist()
         return pd.Series(out)
 
-    placed = written(valid.select("vec_id", "v", "copies", cells("v").alias("cells")))
-    spread = placed.select("vec_id", "v", "copies", "cells", F.explode("cells").alias("cell"))
-    blocks = spread.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_n"))  # a row for each cell: at most MAX_CELLS and the lengths
-    spread = spread.join(blocks, "cell").withColumn("_i", F.pmod(F.xxhash64("vec_id"), F.col("_n")).cast("int"))
-    spread = spread.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("vec_id", "v", "copies", "cells", "cell", F.col("_i").alias("own"), F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
+    stays = F.array(F.struct(F.col("home").alias("cell"), F.lit(True).alias("member")))
+    placed = written(placed.select("vec_id", "v", "copies", "home", visits("v", "home").alias("visits")))
+    goes = F.transform("visits", lambda c: F.struct(c.alias("cell"), F.lit(False).alias("member")))
+    spread = placed.select("vec_id", "v", "copies", F.explode(F.concat(stays, goes)).alias("in")).select("vec_id", "v", "copies", "in.cell", "in.member")
+    count = lambda which: F.ceil(F.count(F.when(which, 1)) / BLOCK).cast("int")
+    blocks = spread.groupBy("cell").agg(count(F.col("member")).alias("_n"), count(~F.col("member")).alias("_m"))  # a row for each cell: at most MAX_CELLS and the lengths
+    # a cell's members are blocks from 0 and meet all blocks; its visitors are the blocks after them and meet members only
+    block = F.pmod(F.xxhash64("vec_id"), F.when(F.col("member"), F.col("_n")).otherwise(F.col("_m"))) + F.when(F.col("member"), 0).otherwise(F.col("_n"))
+    spread = spread.join(blocks, "cell").withColumn("_i", block.cast("int"))
+    last = F.col("_n") - 1 + F.when(F.col("member"), F.col("_m")).otherwise(0)
+    spread = spread.withColumn("_j", F.explode(F.sequence(F.lit(0), last))).select("vec_id", "v", "copies", "cell", F.col("_i").alias("own"), F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"))
 
     def compare(table: pa.Table) -> pa.Table:
         ids, own, copies = (table[c].to_numpy() for c in ("vec_id", "own", "copies"))
-        cell, i, j = (table[c][0].as_py() for c in ("cell", "i", "j"))
+        i, j = (table[c][0].as_py() for c in ("i", "j"))
         v = table["v"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         v = v / np.abs(v).max(1, keepdims=True)
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        of = np.array([[*c, *[1 << 30] * (PROBES - len(c))] for c in table["cells"].to_pylist()])
         left = np.flatnonzero(own == i)
         right = left if i == j else np.flatnonzero(own == j)
         order = np.argsort(ids, kind="stable")
@@ -106,10 +146,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_i
             a, b = left[at + a], right[b]
             if i == j:
                 a, b = a[a < b], b[a < b]
-            if len(a):  # the first cell that both have
-                both = (of[a][:, :, None] == of[b][:, None, :]).any(2)
-                first = np.where(both, of[a], 1 << 30).min(1)
-                a, b = a[first == cell], b[first == cell]
             links += np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
             merge(label, rank[a], rank[b])
         keep = links > 0

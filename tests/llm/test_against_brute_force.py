@@ -199,6 +199,28 @@ def test_op5_many_blocks(spark, monkeypatch):
     assert [got[i] for i in range(300)] == near.tolist()
 
 
+@pytest.mark.parametrize("least", [0.9, 0.5])
+def test_op5_pairs_across_many_cells(spark, monkeypatch, least):
+    """Pairs at the very threshold among vectors without clusters, beside tight ones, with far more cells than any point is near."""
+    monkeypatch.setattr(vectors, "CELL", 8)
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(240, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(240, 24))
+    y -= (x * y).sum(1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    c = least + 1e-4
+    tight = np.repeat(rng.normal(size=(8, 24)), 20, 0) + rng.normal(size=(160, 24)) * 0.02
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y, tight])
+    got = {r[0]: tuple(r)[1:3] for r in vectors.near_duplicates(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), least).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= least
+    np.fill_diagonal(near, False)
+    comp = brute.least_linked(range(len(x)), list(zip(*np.nonzero(near))))
+    assert got == {i: (int(near[i].sum()), comp[i]) for i in range(len(x))}
+
+
 def test_op5_copies(spark):
     """Copies count as links of each other and of what any of them links to."""
     x = {7: [1.0, 0.0], 3: [1.0, 0.0], 9: [1.0, 0.0], 4: [1.0, 0.1], 5: [0.0, 1.0], 6: [0.0, 1.0], 8: [-1.0, 0.2]}
