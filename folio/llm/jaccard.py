@@ -8,9 +8,10 @@ corners of two boxes bounds it for all documents inside.
 The upper levels of the tree are spread over the cluster. A pair within the
 threshold differs in at most D shingles, so of D + 1 slices of the groups at least
 one has the same counts in both: points are dealt by their slices' counts, boxes
-of no extent, and only documents that share one meet. (A slice may be the same
-because it is empty in both; small sets are dealt twice, by independent hashes, to
-keep that from hiding a pair.) Documents that meet, directly or through others,
+of no extent, and only documents that share one meet. (A slice that is empty in
+both tells nothing and is not indexed; a set that leaves too many empty is dealt
+again into more slices, until more of them hold a shingle than a pair can differ
+in, so that one of those is the same in both.) Documents that meet, directly or through others,
 form a subtree; it is cut into leaves, and leaf pairs are searched from boxes of
 NODE documents down to points, and surviving pairs verified on the sets. What is
 emitted is a spanning forest of each leaf pair, never all pairs.
@@ -54,10 +55,15 @@ def most_apart(total: int, percent: int) -> int:
 
 
 def slice_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the slices' counts. Sizes are dealt into classes, and a set's slices are made as for the largest pair of its class and, where a larger partner may lie there, of the next."""
+    """Hashes of the slices' counts; sets within the threshold share one. Sizes are dealt into classes, and a set's slices are made as for the largest pair of its class and, where a larger partner may lie there, of the next.
+
+    In a class, a set is dealt by one round after another, each with more slices, up to the first in which more slices hold a shingle than it and any partner there can differ in. Of a pair, both have the keys of the round in which the earlier one stops, and of the slices that one fills at least one is untouched by what differs. At 50 percent and below no round need be enough, and each shingle is a key.
+    """
     n = len(s)
     if not n:
         return np.zeros(0, np.uint64)
+    if percent <= 50:
+        return mix(s + _A)
     ratio = (100 / percent) ** 3
     level = 0
     while n >= int(np.ceil(ratio ** (level + 1))):
@@ -68,15 +74,18 @@ def slice_keys(s: np.ndarray, percent: int) -> np.ndarray:
         if c > level and 100 * n < percent * (int(np.ceil(ratio**c))):
             break
         m = most_apart(2 * top, percent) + 1
-        for seed in range(1 + (m <= 8)):
-            h = mix(s + _A) if seed else s
+        enough = most_apart(n + min(top, 100 * n // percent), percent) + 1
+        filled, turn = 0, 0
+        while filled < enough:
+            h = mix(s + np.uint64(turn * int(_A) & (1 << 64) - 1)) if turn else s
             place = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             weight = mix(((mix(h ^ _B) & np.uint64(_SLICE_GROUPS - 1)) + np.uint64(1)) * _SPREAD)  # a slice's sum of these tells its counts
-            if seed:
+            if turn:
                 order = np.argsort(place, kind="stable")
                 place, weight = place[order], weight[order]
             first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            out.append(mix(np.add.reduceat(weight, first) + mix(place[first] * _A + np.uint64((1 + 2 * c + seed) * int(_B) & (1 << 64) - 1))))
+            out.append(mix(np.add.reduceat(weight, first) + mix(place[first] * _A + np.uint64((1 + 64 * c + turn) * int(_B) & (1 << 64) - 1))))
+            filled, turn, m = len(first), turn + 1, m + m // 2 + 1
     return np.concatenate(out)
 
 

@@ -69,6 +69,23 @@ def test_op3(spark, tables, name, words, percent):
     assert got == brute.op3(tables[name], words, percent)
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_op3_pairs_at_the_threshold_share_a_key(percent):
+    """Sets of all small sizes that differ in as much as a pair may: none is missed."""
+    rng = np.random.default_rng(percent)
+    missed = 0
+    for n in [*range(1, 30), 60, 200]:
+        for m in range(n, 100 * n // percent + 1):
+            common = -(-percent * (n + m) // (100 + percent))
+            if common > n:
+                continue
+            for _ in range(3000 if n + m < 12 else 20):
+                x = rng.integers(0, 1 << 63, n + m - common, dtype=np.int64).view(np.uint64) * np.uint64(2)
+                a, b = np.sort(x[:n]), np.sort(x[n - common :])
+                missed += not np.intersect1d(jaccard.slice_keys(a, percent), jaccard.slice_keys(b, percent)).size
+    assert missed == 0
+
+
 def test_op3_cuts_hot_groups_into_leaves(spark, tables, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF", 4)
     got = {r[0]: tuple(r)[1:] for r in jaccard.join(frame(spark, tables["planted"]), 3, 90).collect()}
