@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,11 @@ def page_different(similarity: Column, text_changed: Column, tile_changed: Colum
     return (similarity < threshold) | (text_changed & F.lit(text_fails)) | tile_changed
 
 
-def summary(pages: DataFrame, *keys: str) -> DataFrame:
-    """Per pair, from page rows (similarity, text_changed, tile_changed, is_different, page_no): worst (1 for none), mean (0 for none), any change, changed pages."""
+def summary(pages: DataFrame, *keys: str, more: Sequence[Column] = ()) -> DataFrame:
+    """Per pair, from page rows (similarity, text_changed, tile_changed, is_different, page_no): worst (1 for none), mean (0 for none), any change, changed pages; and further aggregates."""
     return pages.groupBy(*keys).agg(
         F.coalesce(F.min("similarity"), F.lit(1.0)).alias("worst"), F.coalesce(F.avg("similarity"), F.lit(0.0)).alias("mean"), F.coalesce(F.bool_or("text_changed"), F.lit(False)).alias("text_changed"),
-        F.coalesce(F.bool_or("tile_changed"), F.lit(False)).alias("tile_changed"), F.array_sort(F.collect_list(F.when(F.col("is_different"), F.col("page_no")))).alias("different_pages"), F.count("similarity").alias("pages_compared"),
+        F.coalesce(F.bool_or("tile_changed"), F.lit(False)).alias("tile_changed"), F.array_sort(F.collect_list(F.when(F.col("is_different"), F.col("page_no")))).alias("different_pages"), F.count("similarity").alias("pages_compared"), *more,
     )
 
 

@@ -17,16 +17,35 @@ from folio.operators.align import align_documents
 from folio.options import Options
 
 
-def page_rows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, page_no, similarity (of the pages' words), text_changed, tile_changed, is_different for pages at equal places."""
+def _sides(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages of either side of a pair, with their words and bags: a, page_no, x, wx, bx and b, page2, y, wy, by."""
     own = P.paginate(docs).withColumn("w", T.tokens(F.col("text"))).withColumn("bag", T.bag(F.col("text")))
     left = own.select(F.col("doc_id").alias("a"), "page_no", F.col("text").alias("x"), F.col("w").alias("wx"), F.col("bag").alias("bx"))
-    right = own.select(F.col("doc_id").alias("b"), "page_no", F.col("text").alias("y"), F.col("w").alias("wy"), F.col("bag").alias("by"))
-    both = pairs.select("a", "b").join(left, "a").join(right, ["b", "page_no"])
+    right = own.select(F.col("doc_id").alias("b"), F.col("page_no").alias("page2"), F.col("text").alias("y"), F.col("w").alias("wy"), F.col("bag").alias("by"))
+    return left, right
+
+
+def _scored(both: DataFrame, *more: str) -> DataFrame:
+    """Page rows from both sides' columns; all null but the keys where a side is missing."""
+    paired = F.col("x").isNotNull() & F.col("y").isNotNull()
     same = (F.col("x") == F.col("y")) | ((F.col("bx") == F.col("by")) & (F.col("bx") != ""))
     empty = (F.size("wx") == 0) & (F.size("wy") == 0)
-    similarity = F.when(same | empty, F.lit(1.0)).otherwise(T.jaccard(T.shingles(F.col("wx")), T.shingles(F.col("wy"))))
-    return both.select("a", "b", "page_no", similarity.alias("similarity"), (~same).alias("text_changed"), F.lit(False).alias("tile_changed")).withColumn("is_different", F.col("text_changed") | (F.col("similarity") < 0.95))
+    similarity = F.when(~paired, F.lit(None).cast("double")).when(same | empty, F.lit(1.0)).otherwise(T.jaccard(T.shingles(F.col("wx")), T.shingles(F.col("wy"))))
+    rows = both.select("a", "b", "page_no", *more, similarity.alias("similarity"), F.when(paired, ~same).alias("text_changed"), F.when(paired, F.lit(False)).alias("tile_changed"))
+    return rows.withColumn("is_different", F.col("text_changed") | (F.col("similarity") < 0.95))
+
+
+def page_rows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, page_no, similarity (of the pages' words), text_changed, tile_changed, is_different for pages at equal places."""
+    left, right = _sides(docs)
+    return _scored(pairs.select("a", "b").join(left, "a").join(right.withColumnRenamed("page2", "page_no"), ["b", "page_no"]))
+
+
+def aligned_rows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """page_rows of aligned pages, with kind and page2; deleted and inserted pages have one page number and nothing to compare."""
+    left, right = _sides(docs)
+    at = align_documents(P.paginate(docs), pairs.select("a", "b")).withColumnsRenamed({"p1": "page_no", "p2": "page2"})
+    return _scored(at.join(left, ["a", "page_no"], "left").join(right, ["b", "page2"], "left"), "kind", "page2")
 
 
 def compare(docs: DataFrame, pairs: DataFrame, options: Options = Options()) -> DataFrame:
@@ -34,13 +53,14 @@ def compare(docs: DataFrame, pairs: DataFrame, options: Options = Options()) ->
     info = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).join(P.page_counts(docs), "doc_id")
     both = pairs.select("a", "b").join(info.withColumnsRenamed({"doc_id": "a", "sha": "s1", "n_pages": "n1"}), "a").join(info.withColumnsRenamed({"doc_id": "b", "sha": "s2", "n_pages": "n2"}), "b")
     stage = F.when(F.col("s1") == F.col("s2"), "bytes").when((F.col("n1") == 0) & (F.col("n2") == 0), "empty documents").when((F.col("n1") == 0) | (F.col("n2") == 0), "empty document mismatch").when(F.col("n1") == F.col("n2"), "all").otherwise("page count mismatch, aligned")
+    aligned = F.col("strategy") == "page count mismatch, aligned"
     both = both.withColumn("strategy", F.lit("bytes") if options.mode == "byte" else stage)
-    summed = S.summary(page_rows(docs, both.where("strategy = 'all'")), "a", "b").select("a", "b", "mean", "worst", F.col("text_changed").alias("changed"), "different_pages")
-    aligned = align_documents(P.paginate(docs), both.where("strategy = 'page count mismatch, aligned'").select("a", "b"))
-    moved = aligned.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "deleted", F.col("p1")))).alias("deleted"), F.array_sort(F.collect_list(F.when(F.col("kind") == "inserted", F.col("p2")))).alias("inserted"))
-    out = both.join(summed, ["a", "b"], "left").join(moved, ["a", "b"], "left")
+    rows = page_rows(docs, both.where("strategy = 'all'")).unionByName(aligned_rows(docs, both.where(aligned)), allowMissingColumns=True)
+    moved = [F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col(p)))).alias(k) for k, p in (("deleted", "page_no"), ("inserted", "page2"))]
+    summed = S.summary(rows, "a", "b", more=moved).select("a", "b", "mean", F.col("text_changed").alias("changed"), "different_pages", "deleted", "inserted")
+    out = both.join(summed, ["a", "b"], "left")
     identical = F.col("s1") == F.col("s2")
-    score = F.when(identical | (F.col("strategy") == "empty documents"), 1.0).otherwise(F.coalesce("mean", F.lit(0.0)))
+    score = F.when(identical | (F.col("strategy") == "empty documents"), 1.0).when(aligned, 0.0).otherwise(F.coalesce("mean", F.lit(0.0)))
     changed = F.coalesce("changed", F.lit(False))
     like = S.similar(score, F.lit(options.mode == "byte"), F.col("n1") != F.col("n2"), changed, F.lit(False), options.threshold, options.text_change == "fails", options.tiles)
     none = F.array().cast("array<bigint>")
