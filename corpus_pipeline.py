@@ -36,7 +36,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 STAGES = [("quality classifier", quality_classifier), ("line dedup", line_dedup), ("n-gram Jaccard join", jaccard_join), ("mixing sources to target weights", source_mix), ("best-fit packing", best_fit_packing)]
 
-#: Classifier, edit join and packing are beyond SQL; tests hold the rows against a brute-force version.
+#: Classifier, edit join and packing are beyond SQL; tests hold line dedup and the Jaccard join against brute-force versions, but not the rows of the whole chain.
 ORACLE_SQL = None
 
 
