@@ -60,11 +60,11 @@ def maybe_in(df: DataFrame, ids: DataFrame, col: str = "doc_id", how: str = "lef
     return df.join(f, on & df[col].isNotNull(), how)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of edges (a, b), by alternating large-star and small-star steps: rows (id, comp), comp the smallest id reachable. Only ids with an edge to another appear."""
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of edges (a, b), by alternating large-star and small-star steps until nothing changes: rows (id, comp), comp the smallest id reachable. Only ids with an edge to another appear."""
     e = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     old = None
-    for _ in range(rounds):
+    while True:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -103,10 +103,10 @@ l as materialized (
   select a, b from i join g p on p.doc_id = a join g q on q.doc_id = b where 100 * c >= 90 * (len(p.s) + len(q.s) - c)),
 e as materialized (select a, b from l union select b, a from l),
 reach as (
-  with recursive r(id, at) using key (id, at) as (
+  with recursive r(id, node) as (
     select doc_id, doc_id from documents
-    union select r.id, e.b from r join e on e.a = r.at)
-  select id, min(at) as component_id from r group by id)
+    union select r.id, e.b from r join e on e.a = r.node)
+  select id, min(node) as component_id from r group by id)
 select g.doc_id, cast(len(g.s) as bigint) as n_shingles, cast(reach.component_id as bigint) as component_id from g join reach on reach.id = g.doc_id
 """
 
