@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
 
 
-def written(df: DataFrame) -> DataFrame:
+#: Tables written within scratch(), if that is open.
+_OPEN: ContextVar[list[DataFrame] | None] = ContextVar("open", default=None)
+
+
+def lasting(df: DataFrame) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back, so that later plans neither recompute it nor depend on one executor."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
@@ -33,6 +40,26 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """lasting(), but deleted where the scratch() that is open ends."""
+    out = lasting(df)
+    if (tables := _OPEN.get()) is not None:
+        tables.append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete what is written() within, at the end. What is to be read later must be lasting()."""
+    token = _OPEN.set([])
+    try:
+        yield
+    finally:
+        tables = _OPEN.get()
+        _OPEN.reset(token)
+        dropped(*tables)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables made by written() which no later plan reads."""
     for df in frames:

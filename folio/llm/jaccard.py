@@ -11,9 +11,10 @@ one has the same counts in both: points are dealt by their slices' counts, boxes
 of no extent, and only documents that share one meet. (A slice that is empty in
 both tells nothing and is not indexed; a set that leaves too many empty is dealt
 again into more slices, until more of them hold a shingle than a pair can differ
-in, so that one of those is the same in both.) Documents that meet, directly or through others,
-form a subtree; it is cut into leaves, and leaf pairs are searched from boxes of
-NODE documents down to points, and surviving pairs verified on the sets. What is
+in, so that one of those is the same in both. Of the keys a set need not index,
+the most frequent are left out.) Documents that meet, directly or through others,
+form a subtree; it is cut into leaves, and leaf pairs are searched down nested
+boxes of NODE children to points, and surviving pairs verified on the sets. What is
 emitted is a spanning forest of each leaf pair, never all pairs.
 """
 
@@ -23,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import batch_bytes, components, maybe_in, mix, raw, word_hashes, written
+from folio.llm.common import batch_bytes, components, lasting, maybe_in, mix, raw, scratch, word_hashes, written
 
 #: Groups of a point in the leaves; documents of an inner box; documents of a leaf.
 GROUPS, NODE, LEAF = 256, 16, 256
+#: Documents of a subtree that is searched without being compared with its first ones before.
+LARGE = 4 * LEAF
 #: Groups of a slice: so many that slices of few shingles seldom have the same counts by chance.
 _SLICE_GROUPS = 1 << 20
+#: Ratio of the sizes in a class, as a power of that between partners; slices, as a multiple of those needed.
+_CLASS, _SPARE = 4, 1.15
 _SPREAD = np.uint64(0xD1342543DE82EF95)
 _A, _B = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -54,17 +59,17 @@ def most_apart(total: int, percent: int) -> int:
     return (100 - percent) * total // (100 + percent)
 
 
-def slice_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the slices' counts; sets within the threshold share one. Sizes are dealt into classes, and a set's slices are made as for the largest pair of its class and, where a larger partner may lie there, of the next.
+def slice_rounds(s: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """Rounds of hashes of the slices' counts, each with the most keys in which it may differ from that of a partner, and one. Sizes are dealt into classes, and a set's slices are made as for the largest pair of its class and, where a larger partner may lie there, of the next.
 
-    In a class, a set is dealt by one round after another, each with more slices, up to the first in which more slices hold a shingle than it and any partner there can differ in. Of a pair, both have the keys of the round in which the earlier one stops, and of the slices that one fills at least one is untouched by what differs. At 50 percent and below no round need be enough, and each shingle is a key.
+    In a class, a set is dealt by one round after another, each with more slices, up to the first in which more slices hold a shingle than it and any partner there can differ in. Of a pair, both have the round in which the earlier one stops, and of the slices that one fills at least one is untouched by what differs. At 50 percent and below no round need be enough, and each shingle is a key.
     """
     n = len(s)
     if not n:
-        return np.zeros(0, np.uint64)
+        return []
     if percent <= 50:
-        return mix(s + _A)
-    ratio = (100 / percent) ** 3
+        return [(n, mix(s + _A))]
+    ratio = (100 / percent) ** _CLASS
     level = 0
     while n >= int(np.ceil(ratio ** (level + 1))):
         level += 1
@@ -73,7 +78,7 @@ def slice_keys(s: np.ndarray, percent: int) -> np.ndarray:
         top = int(np.ceil(ratio ** (c + 1))) - 1
         if c > level and 100 * n < percent * (int(np.ceil(ratio**c))):
             break
-        m = most_apart(2 * top, percent) + 1
+        m = int(np.ceil(_SPARE * (most_apart(2 * top, percent) + 1)))
         enough = most_apart(n + min(top, 100 * n // percent), percent) + 1
         filled, turn = 0, 0
         while filled < enough:
@@ -84,39 +89,72 @@ def slice_keys(s: np.ndarray, percent: int) -> np.ndarray:
                 order = np.argsort(place, kind="stable")
                 place, weight = place[order], weight[order]
             first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            out.append(mix(np.add.reduceat(weight, first) + mix(place[first] * _A + np.uint64((1 + 64 * c + turn) * int(_B) & (1 << 64) - 1))))
+            out.append((enough, mix(np.add.reduceat(weight, first) + mix(place[first] * _A + np.uint64((1 + 64 * c + turn) * int(_B) & (1 << 64) - 1)))))
             filled, turn, m = len(first), turn + 1, m + m // 2 + 1
-    return np.concatenate(out)
+    return out
+
+
+def slice_keys(s: np.ndarray, percent: int) -> np.ndarray:
+    """The keys of all rounds; sets within the threshold share one."""
+    return np.concatenate([np.zeros(0, np.uint64), *[keys for _, keys in slice_rounds(s, percent)]])
 
 
 def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, two hashes of the set, and the keys of its slices."""
+    """Per row: doc_id, n_shingles, two hashes of the set, and the rounds of its slices: `spare` (keys that need not be indexed) and keys."""
     batch_bytes(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, h1, h2, keys, at = [], [], [], [], [0]
+            n, h1, h2, spare, keys, at, rounds = [], [], [], [], [], [0], [0]
             for text in batch.column(1):
                 s = shingles(text.as_py(), words)
                 n.append(len(s))
                 h1.append(int(np.bitwise_xor.reduce(mix(s * _A))) if len(s) else 0)
                 h2.append(int(mix(s ^ _B).sum(dtype=np.uint64)) if len(s) else 0)
-                k = slice_keys(s, percent)
-                keys.append(k)
-                at.append(at[-1] + len(k))
+                for most, k in slice_rounds(s, percent):
+                    spare.append(len(k) - most)
+                    keys.append(k)
+                    at.append(at[-1] + len(k))
+                rounds.append(len(spare))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
+            each = pa.StructArray.from_arrays([pa.array(spare, pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))], ["spare", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(rounds, pa.int32()), each)], names=["doc_id", "n_shingles", "h1", "h2", "rounds"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, rounds array<struct<spare: int, keys: array<long>>>")
 
 
-def _search(ids: np.ndarray, found: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Forest edges between the rows left and right (the same, or apart): from boxes to points to sets."""
-    size = np.array([len(s) for s in found])
-    points = np.zeros((len(found), GROUPS), np.int32)
+def _tree(rows: np.ndarray, points: np.ndarray, size: np.ndarray) -> list:
+    """Nested boxes over rows: [upper corner, least and most size, children]; children are boxes or, at the bottom, rows."""
+    rows = rows[np.lexsort((points[rows, 0], size[rows]))]
+    level = [[points[r].max(0), size[r].min(), size[r].max(), r] for r in (rows[i : i + NODE] for i in range(0, len(rows), NODE))]
+    while len(level) > 1:
+        level = [[np.max([n[0] for n in part], 0), min(n[1] for n in part), max(n[2] for n in part), part] for part in (level[i : i + NODE] for i in range(0, len(level), NODE))]
+    return level[0]
+
+
+def _points(found: list[np.ndarray]) -> np.ndarray:
+    """The counts of the groups of each set."""
+    out = np.zeros((len(found), GROUPS), np.int32)
     for i, s in enumerate(found):
-        points[i] = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+        out[i] = np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    return out
+
+
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def _search(ids: np.ndarray, found: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Forest edges between the rows left and right (the same, or apart): down two trees, from boxes to points to sets. known: a label of each row; rows of one label need no edge."""
+    if not len(left) or not len(right):
+        return []
+    size = np.array([len(s) for s in found])
+    points = _points(found)
     parent = list(range(len(found)))
+    if known is not None:
+        first: dict[int, int] = {}
+        parent = [first.setdefault(int(k), i) for i, k in enumerate(known)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -124,31 +162,28 @@ def _search(ids: np.ndarray, found: list[np.ndarray], left: np.ndarray, right: n
             i = parent[i]
         return i
 
-    def boxes(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int, int]]:
-        rows = rows[np.lexsort((points[rows, 0], size[rows]))]
-        cut = [rows[i : i + NODE] for i in range(0, len(rows), NODE)]
-        return [(r, points[r].max(0), size[r].min(), size[r].max()) for r in cut]
-
-    one = left is right
-    a_boxes = boxes(left)
-    b_boxes = a_boxes if one else boxes(right)
     edges = []
-    for p, (a, a_top, a_min, a_max) in enumerate(a_boxes):
-        for b, b_top, b_min, b_max in b_boxes[p:] if one else b_boxes:
-            if 100 * a_max < percent * b_min or 100 * b_max < percent * a_min:
-                continue
-            if (100 + percent) * np.minimum(a_top, b_top).sum() < percent * (a_min + b_min):
-                continue
-            bound = np.minimum(points[a][:, None, :], points[b][None, :, :]).sum(2)
-            near = (100 + percent) * bound >= percent * (size[a][:, None] + size[b][None, :])
-            for x, y in zip(*np.nonzero(near), strict=True):
-                i, j = int(a[x]), int(b[y])
-                if i == j or (ri := root(i)) == (rj := root(j)):
-                    continue
-                common = len(np.intersect1d(found[i], found[j], assume_unique=True))
-                if 100 * common >= percent * (size[i] + size[j] - common):
-                    parent[ri] = rj
-                    edges.append((int(ids[i]), int(ids[j])))
+    a = _tree(left, points, size)
+    todo = [(a, a if left is right else _tree(right, points, size))]
+    while todo:
+        x, y = todo.pop()
+        if 100 * x[2] < percent * y[1] or 100 * y[2] < percent * x[1]:
+            continue
+        if (100 + percent) * np.minimum(x[0], y[0]).sum() < percent * (x[1] + y[1]):
+            continue
+        if isinstance(x[3], list) or isinstance(y[3], list):
+            if x is y:
+                todo += [(u, v) for k, u in enumerate(x[3]) for v in x[3][k:]]
+            else:
+                todo += [(u, v) for u in (x[3] if isinstance(x[3], list) else [x]) for v in (y[3] if isinstance(y[3], list) else [y])]
+            continue
+        bound = np.minimum(points[x[3]][:, None, :], points[y[3]][None, :, :]).sum(2)
+        near = (100 + percent) * bound >= percent * (size[x[3]][:, None] + size[y[3]][None, :])
+        for p, q in zip(*np.nonzero(near), strict=True):
+            i, j = int(x[3][p]), int(y[3][q])
+            if i != j and (ri := root(i)) != (rj := root(j)) and _linked(found[i], found[j], percent):
+                parent[ri] = rj
+                edges.append((int(ids[i]), int(ids[j])))
     return edges
 
 
@@ -159,34 +194,100 @@ def join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """
     own = written(sets(docs, words, percent))
     small = own.select("doc_id", "n_shingles", "h1", "h2")
-    known = small.where("n_shingles > 0 and doc_id is not null")
-    classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies = written(known.join(classes, ["h1", "h2", "n_shingles"]).select("doc_id", "rep").distinct())
-    # a key's documents meet its smallest; copies of another set stay out
-    keyed = own.where("doc_id is not null").select("doc_id", "keys").join(copies.where("doc_id <> rep").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("key", "lead")
-    met = components(keyed.join(shared, "key").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")))
-    met = written(met)
-    edges = written(_verified(docs, met, words, percent))
-    linked = components(edges.union(copies.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    with scratch():
+        known = small.where("n_shingles > 0 and doc_id is not null")
+        classes = known.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+        copies = written(known.join(classes, ["h1", "h2", "n_shingles"]).where("doc_id <> rep").select("doc_id", "h1", "h2", "rep").distinct())
+        # a key's documents meet its smallest; copies of another set stay out
+        firsts = own.where("doc_id is not null").select("doc_id", "h1", "h2", "rounds")
+        firsts = maybe_in(firsts, copies, how="left_anti").union(maybe_in(firsts, copies).join(copies, ["doc_id", "h1", "h2"], "left_anti"))
+        # most keys occur once: they are counted alone, and only the ids of others travel
+        often = written(firsts.select(F.explode(F.flatten("rounds.keys")).alias("key")).groupBy("key").count().where("count > 1"))
+        each = firsts.select("doc_id", "h1", "h2", F.posexplode("rounds").alias("round", "r"))
+        each = each.select("doc_id", F.xxhash64("h1", "h2").alias("own"), "round", "r.spare", F.explode("r.keys").alias("key"))
+        hits = _rarest(maybe_in(each, often, "key").join(often, "key"))
+        hits = written(hits.select("key", "doc_id").distinct())
+        leads = hits.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead <> last").select("key", "lead")
+        pairs = written(hits.join(leads, "key").where("doc_id <> lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct())
+        met = written(components(pairs))
+        edges = written(_verified(docs, met, pairs, hits, words, percent))
+        linked = lasting(components(edges.union(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))))
     out = small.select("doc_id", "n_shingles").join(linked.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
-def _verified(docs: DataFrame, met: DataFrame, words: int, percent: int) -> DataFrame:
-    """Forest edges (a, b) within the subtrees of met (id, comp)."""
+def _rarest(hits: DataFrame) -> DataFrame:
+    """Of the keys that a set shares with others (doc_id, own, round, spare, key, count), the rarest, and so many that partners still share one.
+
+    A round may differ from a partner's in all its keys but `spare` and one. In one order of all keys, from rare to frequent, the first key that both have is therefore among the first of either; the last `spare` need not be indexed, and those that occur once come first and meet nothing. A set that shares no more than `spare` keys has no partner. So what many documents share, a passage or a template, seldom makes them meet.
+    """
+    by = Window.partitionBy("doc_id", "own", "round")
+    rank = F.row_number().over(by.orderBy("count", "key"))
+    return hits.withColumn("_rank", rank).withColumn("_n", F.count(F.lit(1)).over(by)).where("_rank <= _n - spare")
+
+
+def _verified(docs: DataFrame, met: DataFrame, pairs: DataFrame, hits: DataFrame, words: int, percent: int) -> DataFrame:
+    """Edges (a, b) that link what is linked within the subtrees of met (id, comp).
+
+    Subtrees of up to LARGE documents are searched as they are. The documents of larger ones are first compared with those they meet (pairs), a leaf at a time, so that a large group of near copies is linked in linear work; only keys (of hits) that still hold several components are searched, each by itself.
+    """
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text")
     sizes = met.groupBy("comp").count()
-    total = met.count()
+    sized = written(met.join(sizes, "comp").select(F.col("id").alias("doc_id"), "comp", "count"))
+    out = _leaf_pairs(texts, sized.where(f"count <= {LARGE}").select("doc_id", "comp", "count", F.col("doc_id").alias("known")), words, percent)
+    large = sized.where(f"count > {LARGE}").select("doc_id")
+    if large.isEmpty():
+        return out
+    near = written(_with_leads(texts, pairs.join(large.withColumnRenamed("doc_id", "a"), "a"), words, percent))
+    comp = written(components(near))
+    told = hits.join(large, "doc_id").join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("comp", "doc_id").alias("known"))
+    told = written(told)
+    mixed = told.groupBy("key").agg(F.min("known").alias("_lo"), F.max("known").alias("_hi"), F.count(F.lit(1)).alias("count")).where("_lo <> _hi").select("key", "count")
+    rest = told.join(mixed, "key").select("doc_id", F.col("key").alias("comp"), "count", "known")
+    return out.union(near).union(_leaf_pairs(texts, rest, words, percent))
+
+
+def _with_leads(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) that are linked. The documents of one b are dealt to tasks of about LEAF, each of which has b's text."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("n"))
+    dealt = pairs.join(parts, "b").select(F.col("a").alias("doc_id"), "b", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("part"))
+    leads = parts.select(F.col("b").alias("doc_id"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    both = written(dealt.union(leads))
+    rows = maybe_in(texts, both.select("doc_id").distinct()).join(both, "doc_id")
+
+    def search(table: pa.Table) -> pa.Table:
+        ids = table["doc_id"].to_numpy()
+        own = int(table["b"][0].as_py())
+        found = [shingles(t.as_py(), words) for t in table["text"]]
+        heads = np.flatnonzero(ids == own)
+        out = [int(i) for h in heads for i, s in zip(ids, found, strict=True) if i != own and _near(s, found[h], percent)]
+        return pa.table({"a": pa.array(out, pa.int64()), "b": pa.array([own] * len(out), pa.int64())})
+
+    return rows.groupBy("b", "part").applyInArrow(search, "a long, b long")
+
+
+def _near(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether sets are linked; their points' bound first."""
+    if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    p = _points([a, b])
+    return (100 + percent) * int(np.minimum(p[0], p[1]).sum()) >= percent * (len(a) + len(b)) and _linked(a, b, percent)
+
+
+def _leaf_pairs(texts: DataFrame, groups: DataFrame, words: int, percent: int) -> DataFrame:
+    """Forest edges within groups (doc_id, comp, count, known): each is cut into leaves of about LEAF documents, and every two leaves are searched in one task; small groups share tasks."""
+    total = groups.where(f"count <= {LEAF}").count()
     tasks = max(1, -(-total // (8 * LEAF)))
-    leaves = met.join(sizes, "comp").withColumn("n", F.ceil(F.col("count") / LEAF).cast("int"))
-    leaves = leaves.select(F.col("id").alias("doc_id"), "comp", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("own"))
-    texts = maybe_in(docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text"), leaves.select("doc_id")).join(leaves, "doc_id")
-    texts = texts.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    leaves = groups.withColumn("n", F.ceil(F.col("count") / LEAF).cast("int"))
+    leaves = leaves.select("doc_id", "comp", "known", "n", F.pmod(F.xxhash64("doc_id"), F.col("n")).cast("int").alias("own"))
+    leaves = leaves.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     one = F.col("n") == 1
-    texts = texts.select("doc_id", "text", "comp", "own", F.least("own", "_j").alias("i"), F.greatest("own", "_j").alias("j"), F.when(one, F.pmod(F.xxhash64("comp"), F.lit(tasks))).otherwise(F.xxhash64("comp", F.least("own", "_j"), F.greatest("own", "_j"))).alias("task"))
+    leaves = leaves.select("doc_id", "known", "comp", "own", F.least("own", "_j").alias("i"), F.greatest("own", "_j").alias("j"), F.when(one, F.pmod(F.xxhash64("comp"), F.lit(tasks))).otherwise(F.xxhash64("comp", F.least("own", "_j"), F.greatest("own", "_j"))).alias("task"))
+    leaves = written(leaves)
+    rows = maybe_in(texts, leaves.select("doc_id").distinct()).join(leaves, "doc_id")
 
     def search(table: pa.Table) -> pa.Table:
-        ids, comp, own, i, j = (table[c].to_numpy() for c in ("doc_id", "comp", "own", "i", "j"))
+        ids, known, comp, own, i, j = (table[c].to_numpy() for c in ("doc_id", "known", "comp", "own", "i", "j"))
         text = table["text"]
         edges: list[tuple[int, int]] = []
         order = np.lexsort((ids, j, i, comp))
@@ -194,20 +295,23 @@ def _verified(docs: DataFrame, met: DataFrame, words: int, percent: int) -> Data
         for a, b in zip(cut, cut[1:], strict=False):
             rows = order[a:b]
             found = [shingles(text[int(r)].as_py(), words) for r in rows]
+            full = np.array([len(s) > 0 for s in found])  # a row that repeats an id may have no words
             side = own[rows]
-            left = np.flatnonzero(side == i[rows[0]])
-            right = left if i[rows[0]] == j[rows[0]] else np.flatnonzero(side == j[rows[0]])
-            edges += _search(ids[rows], found, left, right, percent)
+            left = np.flatnonzero((side == i[rows[0]]) & full)
+            right = left if i[rows[0]] == j[rows[0]] else np.flatnonzero((side == j[rows[0]]) & full)
+            edges += _search(ids[rows], found, left, right, percent, known[rows])
         x, y = zip(*edges, strict=True) if edges else ((), ())
         return pa.table({"a": pa.array(x, pa.int64()), "b": pa.array(y, pa.int64())})
 
-    return texts.groupBy("task").applyInArrow(search, "a long, b long")
+    return rows.groupBy("task").applyInArrow(search, "a long, b long")
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with their columns, whose id is the smallest of its component; rows without an id or without words stay."""
-    gone = join(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    gone = written(gone)
+    """The rows of docs, with their columns, whose id is the smallest of its component; rows without an id or without words stay.
+
+    Edge cases as for join; rows that repeat an id stay or go together. Empty input: no rows.
+    """
+    gone = written(join(docs, words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
     ids = gone.withColumnRenamed("_gone", "doc_id")
     hit = maybe_in(docs, ids)
     rest = maybe_in(docs, ids, how="left_anti")  # their texts need no shuffle

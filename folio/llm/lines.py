@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import components, dropped, maybe_in, written
+from folio.llm.common import components, dropped, lasting, maybe_in, scratch, written
 
 EDITS = 1
 #: Lines with fewer words stay as they are, unless the caller says otherwise; the query and the pipeline let every line with a word take part.
@@ -315,12 +315,12 @@ def line_classes(docs: DataFrame, rows: DataFrame, edits: int = EDITS, least_wor
 
 def repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id and pos of lines that go: of equal and linked lines, all but the first by doc_id and place."""
-    rows = written(keyed_lines(docs, edits, least_words))
-    classes = written(line_classes(docs, rows, edits, least_words))
-    near = rows.select("doc_id", "pos", "h").join(classes, "h", "left").select("doc_id", "pos", F.coalesce("class", "h").alias("class"))
-    first = near.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
-    gone = written(near.join(first, "class").where(F.struct("doc_id", "pos") > F.col("first")).groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
-    dropped(rows, classes)
+    with scratch():
+        rows = written(keyed_lines(docs, edits, least_words))
+        classes = written(line_classes(docs, rows, edits, least_words))
+        near = rows.select("doc_id", "pos", "h").join(classes, "h", "left").select("doc_id", "pos", F.coalesce("class", "h").alias("class"))
+        first = near.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
+        gone = lasting(near.join(first, "class").where(F.struct("doc_id", "pos") > F.col("first")).groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
     return gone
 
 
