@@ -318,9 +318,10 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST
     with scratch():
         rows = written(keyed_lines(docs, edits, least_words))
         classes = written(line_classes(docs, rows, edits, least_words))
-        near = rows.select("doc_id", "pos", "h").join(classes, "h", "left").select("doc_id", "pos", F.coalesce("class", "h").alias("class"))
-        first = near.groupBy("class").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "first")
-        gone = lasting(near.join(first, "class").where(F.struct("doc_id", "pos") > F.col("first")).groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
+        # the first of each line, then of each class: what stays is one row a class, so a frequent line is never gathered
+        first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first")).join(classes, "h", "left")
+        stay = first.groupBy(F.coalesce("class", "h").alias("class")).agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("doc_id"), F.col("first.pos").alias("pos"))
+        gone = lasting(rows.select("doc_id", "pos").join(stay, ["doc_id", "pos"], "left_anti").groupBy("doc_id").agg(F.collect_set("pos").alias("at")))
     return gone
 
 
@@ -330,7 +331,7 @@ def without_lines(docs: DataFrame, edits: int = EDITS, least_words: int = LEAST_
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("key"))
     split = F.split(F.col("row.text").cast("string"), "\n", -1)
     count = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(split)).alias("lines")
-    hit = maybe_in(rows, gone.withColumnRenamed("id", "key"), "key").join(gone, F.col("key") == F.col("id"), "left")
+    hit = maybe_in(rows, gone.withColumnRenamed("id", "key"), "key").join(gone.hint("merge"), F.col("key") == F.col("id"), "left")  # the places grow with the input: never broadcast
     rest = maybe_in(rows, gone.withColumnRenamed("id", "key"), "key", how="left_anti")
     # places that stay, by one pass over either array; a row that repeats an id may have fewer lines than the places tell
     stay = lambda all_: F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), F.col("at"))
