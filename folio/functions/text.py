@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -42,27 +42,55 @@ def bag(text: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(text, ""), lambda c: c.rlike(r"^(?:[0-9A-Za-z]|[\p{L}\p{Nd}&&[^\x{0}-\x{2FF}]])$"))), "")
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once: higher-order functions share nothing of what their arguments have in common."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased words without punctuation at their ends; characters of scripts without spaces stand alone."""
-    fields = F.split(F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " ")), " ")
-    parts = F.flatten(F.transform(fields, lambda f: F.regexp_extract_all(f, F.lit(f"[{UNSPACED}]|[^{UNSPACED}]+"), F.lit(0))))
-    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\p{P}+|\p{P}+$", "")), lambda p: p != "")
+    """Lower-cased words without punctuation at their ends; characters of scripts without spaces stand alone.
+
+    Three passes over the whole text, none of them for each word: such characters are set apart by spaces (where there are any), then punctuation beside white space or an end is cut, and the rest is split.
+    """
+    low = F.lower(text)
+    apart = F.when(low.rlike(f"[{UNSPACED}]"), F.regexp_replace(low, f"([{UNSPACED}])", " $1 ")).otherwise(low)
+    # a mark goes if only marks are between it and white space or an end
+    bare = F.regexp_replace(apart, r"(?U)(?<!\S)\p{P}++|(?<!\p{P})\p{P}++(?!\S)", " ")
+    return F.filter(F.split(bare, r"(?U)\s+"), lambda p: p != "")
 
 
 def shingles(words: Column, k: int = SHINGLE_WORDS) -> Column:
     """Distinct runs of k words, joined; all words as one, if they are fewer; none without words."""
-    n = F.size(words)
-    # words beside their followers: nothing but the elements reaches the lambda, so words are not worked out again for each run
-    shifted = F.arrays_zip(*[F.slice(words, i + 1, F.greatest(n - k + 1, F.lit(0))).alias(f"w{i}") for i in range(k)])
-    runs = F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(k)])))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(words, " "))).otherwise(runs)
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        shifted = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(n - k + 1, F.lit(0))).alias(f"w{i}") for i in range(k)])
+        each = F.array_distinct(F.transform(shifted, lambda z: F.concat_ws(" ", *[z[f"w{i}"] for i in range(k)])))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(each)
+
+    return bind(words, runs)
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct items; 0 without items."""
-    both = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - both
-    return F.when(union == 0, F.lit(0.0)).otherwise(both.cast("double") / union.cast("double"))
+
+    def share(v: Column) -> Column:
+        def of(both: Column) -> Column:
+            union = F.size(v["a"]) + F.size(v["b"]) - both
+            return F.when(union == 0, F.lit(0.0)).otherwise(both.cast("double") / union.cast("double"))
+
+        return bind(F.size(F.array_intersect(v["a"], v["b"])), of)
+
+    return F.when(a.isNotNull() & b.isNotNull(), bind(F.struct(a.alias("a"), b.alias("b")), share))
+
+
+def text_similarity(words_a: Column, words_b: Column) -> Column:
+    """Of two texts' words by their shingles; null where both have fewer than MIN_SHINGLES of them."""
+
+    def of(v: Column) -> Column:
+        return F.when((F.size(v["x"]) >= MIN_SHINGLES) | (F.size(v["y"]) >= MIN_SHINGLES), jaccard(v["x"], v["y"]))
+
+    return bind(F.struct(shingles(words_a).alias("x"), shingles(words_b).alias("y")), of)
 
 
 def without_digits(words: Column) -> Column:
@@ -71,10 +99,14 @@ def without_digits(words: Column) -> Column:
 
 def likeness(words_a: Column, words_b: Column) -> Column:
     """Of two pages' words: by shingles where either has MIN_SHINGLES, else by words, leaving numbers out if both have others."""
-    sa, sb = shingles(words_a), shingles(words_b)
-    na, nb = without_digits(words_a), without_digits(words_b)
-    short = F.when((F.size(na) > 0) & (F.size(nb) > 0), jaccard(F.array_distinct(na), F.array_distinct(nb))).otherwise(jaccard(F.array_distinct(words_a), F.array_distinct(words_b)))
-    return F.when((F.size(sa) >= MIN_SHINGLES) | (F.size(sb) >= MIN_SHINGLES), jaccard(sa, sb)).otherwise(short)
+
+    def short(v: Column) -> Column:
+        def of(w: Column) -> Column:
+            return F.when((F.size(w["x"]) > 0) & (F.size(w["y"]) > 0), jaccard(F.array_distinct(w["x"]), F.array_distinct(w["y"]))).otherwise(jaccard(F.array_distinct(v["x"]), F.array_distinct(v["y"])))
+
+        return bind(F.struct(without_digits(v["x"]).alias("x"), without_digits(v["y"]).alias("y")), of)
+
+    return bind(F.struct(words_a.alias("x"), words_b.alias("y")), lambda v: F.coalesce(text_similarity(v["x"], v["y"]), short(v)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -50,20 +50,20 @@ def anchors(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return [(i, i) for i in range(low)] + [(i + low, j + low) for i, j in middle] + [(len(a) - k, len(b) - k) for k in range(high, 0, -1)]
 
 
-def gap_pairs(n: int, m: int, like: Callable[[int, int], float]) -> list[tuple[int, int]]:
-    """The shorter side in full, in order, with the highest sum of likeness; the earliest on a tie; by place if there are too many comparisons."""
-    if n > m:
-        return [(i, j) for j, i in gap_pairs(m, n, lambda i, j: like(j, i))]
+def gap_pairs(n: int, m: int, like: Callable[[int, int], float] | np.ndarray) -> list[tuple[int, int]]:
+    """The shorter side in full, in order, with the highest sum of likeness; the earliest on a tie; by place if there are too many comparisons. like: a function of two places, or its table."""
     if n * m > MAX_GAP_WORK:
-        return [(i, i) for i in range(n)]
-    total = np.full((n + 1, m + 1), -np.inf)
-    total[0] = 0
+        return [(i, i) for i in range(min(n, m))]
+    table = like if isinstance(like, np.ndarray) else np.array([[like(i, j) for j in range(m)] for i in range(n)]).reshape(n, m)
+    if n > m:
+        return [(i, j) for j, i in gap_pairs(m, n, table.T)]
+    best = np.zeros(m + 1)
     left_out = np.zeros((n + 1, m + 1), bool)
     for i in range(1, n + 1):
-        for j in range(i, m + 1):
-            paired = total[i - 1, j - 1] + like(i - 1, j - 1)
-            left_out[i, j] = j > i and total[i, j - 1] >= paired
-            total[i, j] = total[i, j - 1] if left_out[i, j] else paired
+        paired = np.full(m + 1, -np.inf)
+        paired[i:] = best[i - 1 : m] + table[i - 1, i - 1 :]
+        best = np.maximum.accumulate(paired)
+        left_out[i, i + 1 :] = best[i:-1] >= paired[i + 1 :]
     out, i, j = [], n, m
     while i:
         if not left_out[i, j]:
@@ -73,13 +73,14 @@ def gap_pairs(n: int, m: int, like: Callable[[int, int], float]) -> list[tuple[i
     return out[::-1]
 
 
-def align(a: Sequence, b: Sequence, like: Callable[[int, int], float]) -> list[tuple[str, int | None, int | None]]:
-    """Rows (kind, p1, p2) of kinds exact, gap, deleted and inserted; pages from 0."""
+def align(a: Sequence, b: Sequence, like: Callable[[int, int], float] | None = None, tables: Callable[[slice, slice], np.ndarray] | None = None) -> list[tuple[str, int | None, int | None]]:
+    """Rows (kind, p1, p2) of kinds exact, gap, deleted and inserted; pages from 0. Likeness is a function of two places, or of two ranges of them."""
     exact = anchors(a, b)
     out: list[tuple[str, int | None, int | None]] = [("exact", i, j) for i, j in exact]
     i0 = j0 = 0
     for i1, j1 in [*exact, (len(a), len(b))]:
-        pairs = gap_pairs(i1 - i0, j1 - j0, lambda i, j, i0=i0, j0=j0: like(i0 + i, j0 + j))
+        few = tables and 0 < (i1 - i0) * (j1 - j0) <= MAX_GAP_WORK
+        pairs = gap_pairs(i1 - i0, j1 - j0, tables(slice(i0, i1), slice(j0, j1)) if few else (lambda i, j, i0=i0, j0=j0: like(i0 + i, j0 + j) if like else 0.0))
         out += [("gap", i0 + i, j0 + j) for i, j in pairs]
         used_i, used_j = {i for i, _ in pairs}, {j for _, j in pairs}
         out += [("deleted", i, None) for i in range(i0, i1) if i - i0 not in used_i]
@@ -88,28 +89,71 @@ def align(a: Sequence, b: Sequence, like: Callable[[int, int], float]) -> list[t
     return out
 
 
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}"
+
+
 def words_of(text: str) -> list[str]:
     """Tokens of a page, in Python."""
     import regex
 
-    parts = []
-    for f in text.lower().split():
-        parts += regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]|[^\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]+", f)
-    return [w for p in parts if (w := regex.sub(r"^\p{P}+|\p{P}+$", "", p))]
+    low = text.lower()
+    if not low.isascii():
+        low = regex.sub(f"([{_UNSPACED}])", r" \1 ", low)
+    out = []
+    for w in low.split():
+        if not w.isalnum():
+            w = regex.sub(r"^\p{P}+|\p{P}+$", "", w)
+        if w:
+            out.append(w)
+    return out
 
 
-def text_likeness(a: list[str], b: list[str]) -> float:
-    """Exact shingle similarity for long pages, that of words for short ones."""
-    from folio.functions.text import MIN_SHINGLES, shingle_hashes
+def page_sets(words: list[str]) -> tuple[frozenset, frozenset, frozenset]:
+    """What text_likeness compares of a page: shingles, words, words without digits. Made once a page, not once a pair."""
+    from folio.functions.text import shingle_hashes
+
+    return frozenset(shingle_hashes(words).tolist()), frozenset(words), frozenset(w for w in words if not any(c.isdecimal() for c in w))
+
 
-    def jaccard(x: set, y: set) -> float:
-        return len(x & y) / len(x | y) if x | y else 0.0
+_ITEMS = 2048
 
-    sa, sb = set(shingle_hashes(a).tolist()), set(shingle_hashes(b).tolist())
-    if max(len(sa), len(sb)) >= MIN_SHINGLES:
-        return jaccard(sa, sb)
-    na, nb = ({w for w in x if not any(c.isdecimal() for c in w)} for x in (a, b))
-    return jaccard(na, nb) if na and nb else jaccard(set(a), set(b))
+
+def _shared(a: Sequence[frozenset], b: Sequence[frozenset]) -> np.ndarray:
+    """Jaccard of every set of a with every one of b; 0 without items."""
+    if len(a) > len(b):
+        return _shared(b, a).T
+    code: dict = {}
+    for s in a:
+        for x in s:
+            code.setdefault(x, len(code))
+    at = [[np.array(sorted(code[x] for x in s if x in code), np.int64) for s in side] for side in (a, b)]
+    common = np.zeros((len(a), len(b)))
+    for first in range(0, len(code), _ITEMS):  # a bounded part of the items at a time
+        has = [np.zeros((len(side), _ITEMS), np.float32) for side in at]
+        for table, side in zip(has, at, strict=True):
+            for i, c in enumerate(side):
+                table[i, c[(c >= first) & (c < first + _ITEMS)] - first] = 1
+        common += np.rint(has[0] @ has[1].T)
+    union = np.array([len(s) for s in a], float)[:, None] + np.array([len(s) for s in b], float)[None, :] - common
+    return np.divide(common, union, out=np.zeros_like(common), where=union > 0)
+
+
+def likeness_table(a: Sequence[tuple], b: Sequence[tuple]) -> np.ndarray:
+    """Of the page_sets of two runs of pages: exact shingle similarity where either page is long, that of words for short ones, leaving numbers out if both have others."""
+    from folio.functions.text import MIN_SHINGLES
+
+    long = np.array([len(x[0]) for x in a])[:, None] >= MIN_SHINGLES
+    long = long | (np.array([len(x[0]) for x in b])[None, :] >= MIN_SHINGLES)
+    plain = np.array([bool(x[2]) for x in a])[:, None] & np.array([bool(x[2]) for x in b])[None, :]
+    out = np.zeros(long.shape)
+    for k, where in ((0, long), (1, ~long & ~plain), (2, ~long & plain)):
+        if where.any():
+            out[where] = _shared([x[k] for x in a], [x[k] for x in b])[where]
+    return out
+
+
+def text_likeness(a: list[str], b: list[str]) -> float:
+    return float(likeness_table([page_sets(a)], [page_sets(b)])[0, 0])
 
 
 def align_documents(pages: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -120,8 +164,8 @@ def align_documents(pages: DataFrame, pairs: DataFrame) -> DataFrame:
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "page_no"])
         one, two = (pdf.loc[pdf.side == s, "text"].tolist() for s in (1, 2))
-        w1, w2 = [words_of(t) for t in one], [words_of(t) for t in two]
-        rows = align(one, two, lambda i, j: text_likeness(w1[i], w2[j]))
+        w1, w2 = [page_sets(words_of(t)) for t in one], [page_sets(words_of(t)) for t in two]
+        rows = align(one, two, tables=lambda i, j: likeness_table(w1[i], w2[j]))
         out = pd.DataFrame([(pdf.a.iloc[0], pdf.b.iloc[0], k, None if i is None else i + 1, None if j is None else j + 1) for k, i, j in rows], columns=["a", "b", "kind", "p1", "p2"])
         return out.astype({"p1": "Int64", "p2": "Int64"})
 

@@ -32,9 +32,20 @@ def strategic_pages(n: Column) -> Column:
     return F.when(n <= 5, all_pages(n)).otherwise(some)
 
 
-def consecutive_pairs(docs: DataFrame) -> DataFrame:
-    """a, b: each document and the next of its source."""
-    return docs.select(F.col("doc_id").alias("a"), F.lead("doc_id").over(Window.partitionBy("source").orderBy("doc_id")).alias("b")).where("b is not null")
+#: Ids of a range whose documents are put in order by one task.
+RANGE = 1 << 16
+
+
+def consecutive_pairs(docs: DataFrame, by: str = "source", ident: str = "doc_id") -> DataFrame:
+    """a, b: each document and the next of its source.
+
+    Ids are dealt into ranges of RANGE, so that a source with most documents is many tasks: within a range the next one is a window away, and the last of a range is followed by the first of the next that has any. Only two ids a range and source meet in one task.
+    """
+    rows = docs.select(F.col(by).alias("_s"), F.col(ident).alias("a"), F.floor(F.col(ident) / RANGE).alias("_r")).where("a is not null")
+    inner = rows.select("a", F.lead("a").over(Window.partitionBy("_s", "_r").orderBy("a")).alias("b"))
+    edge = rows.groupBy("_s", "_r").agg(F.max("a").alias("a"), F.min("a").alias("first"))
+    outer = edge.select("a", F.lead("first").over(Window.partitionBy("_s").orderBy("_r")).alias("b"))
+    return inner.union(outer).where("b is not null")
 
 
 def pixel_size(points: Column, dpi: Column) -> Column:

@@ -7,7 +7,7 @@ Nothing is collected: a stage's undecided rows are a filter of its result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
@@ -18,19 +18,31 @@ from folio.options import Options
 
 
 def _sides(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The pages of either side of a pair, with their words and bags: a, page_no, x, wx, bx and b, page2, y, wy, by."""
-    own = P.paginate(docs).withColumn("w", T.tokens(F.col("text"))).withColumn("bag", T.bag(F.col("text")))
-    left = own.select(F.col("doc_id").alias("a"), "page_no", F.col("text").alias("x"), F.col("w").alias("wx"), F.col("bag").alias("bx"))
-    right = own.select(F.col("doc_id").alias("b"), F.col("page_no").alias("page2"), F.col("text").alias("y"), F.col("w").alias("wy"), F.col("bag").alias("by"))
+    """The pages of either side of a pair, with the hash of their bag: a, page_no, x, bx and b, page2, y, by. The bag's hash stands for it, so that joins carry the text alone; words are made once, where pages differ."""
+    own = P.paginate(docs).withColumn("bag", T.bag(F.col("text")))
+    own = own.withColumn("bag", F.when(F.col("bag") == "", "").otherwise(F.md5("bag")))
+    left = own.select(F.col("doc_id").alias("a"), "page_no", F.col("text").alias("x"), F.col("bag").alias("bx"))
+    right = own.select(F.col("doc_id").alias("b"), F.col("page_no").alias("page2"), F.col("text").alias("y"), F.col("bag").alias("by"))
     return left, right
 
 
 def _scored(both: DataFrame, *more: str) -> DataFrame:
-    """Page rows from both sides' columns; all null but the keys where a side is missing."""
+    """Page rows from both sides' columns; all null but the keys where a side is missing.
+
+    Pages of equal bags have the same text in another order, unless a mark was exchanged for another (1,500 for 1.500, ü for ö); only texts that differ but for their bags are sent to be looked at for that.
+    """
+    both = both.withColumn("bags", (F.col("bx") == F.col("by")) & (F.col("bx") != ""))
+    ask = F.col("bags") & (F.col("x") != F.col("y"))
+    both = both.withColumn("swaps", T.swapped(F.when(ask, F.col("x")), F.when(ask, F.col("y"))))
     paired = F.col("x").isNotNull() & F.col("y").isNotNull()
-    same = (F.col("x") == F.col("y")) | ((F.col("bx") == F.col("by")) & (F.col("bx") != ""))
-    empty = (F.size("wx") == 0) & (F.size("wy") == 0)
-    similarity = F.when(~paired, F.lit(None).cast("double")).when(same | empty, F.lit(1.0)).otherwise(T.jaccard(T.shingles(F.col("wx")), T.shingles(F.col("wy"))))
+    same = (F.col("x") == F.col("y")) | F.col("bags") & ~F.coalesce(F.col("swaps"), F.lit(False))
+
+    def likeness(v: Column) -> Column:
+        empty = (F.size(v["x"]) == 0) & (F.size(v["y"]) == 0)
+        return F.when(empty, F.lit(1.0)).otherwise(T.jaccard(T.shingles(v["x"]), T.shingles(v["y"])))
+
+    words = F.struct(T.tokens(F.col("x")).alias("x"), T.tokens(F.col("y")).alias("y"))
+    similarity = F.when(~paired, F.lit(None).cast("double")).when(same, F.lit(1.0)).otherwise(T.bind(words, likeness))
     rows = both.select("a", "b", "page_no", *more, similarity.alias("similarity"), F.when(paired, ~same).alias("text_changed"), F.when(paired, F.lit(False)).alias("tile_changed"))
     return rows.withColumn("is_different", F.col("text_changed") | (F.col("similarity") < 0.95))
 

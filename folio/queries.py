@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from folio.functions import image as I
 from folio.functions import text as T
+from folio.operators import content as C
 from folio.operators import files as B
 from folio.operators import pages as P
 from folio.operators import pairs as J
 from folio.operators import report as R
 from folio.operators import score as S
+from folio.operators import visual as V
 from folio.operators.align import align_documents
 from folio.plans import cascade
 from folio.sources.sinks import as_json
@@ -132,6 +134,13 @@ def word_jaccard_pairs(spark, d):
     return both.select("a", "b", F.round(T.jaccard(F.array_distinct(T.tokens(F.col("x"))), F.array_distinct(T.tokens(F.col("y")))), 9).alias("jaccard"))
 
 
+@query(f"with {_TOKENS}, {_PAIRS}, j as (select a, b, p.s as x, q.s as y from pr join sh p on p.doc_id = a join sh q on q.doc_id = b) select a, b, case when greatest(len(x), len(y)) >= 60 then round({_JAC}, 9) end as similarity from j")
+def text_similarity_pairs(spark, d):
+    t = docs(spark, d)
+    both = J.pair_texts(t, P.consecutive_pairs(t))
+    return both.select("a", "b", F.round(T.text_similarity(T.tokens(F.col("x")), T.tokens(F.col("y"))), 9).alias("similarity"))
+
+
 @query()
 def minhash_signature(spark, d):
     return docs(spark, d).select("doc_id", T.signature(T.tokens(F.col("text"))).alias("s")).select("doc_id", F.col("s.distinct").alias("n"), F.col("s.slots").alias("slots"))
@@ -244,6 +253,63 @@ def verdict_status(spark, d):
     return cascade.compare(t, P.consecutive_pairs(t)).select("a", "b", "status")
 
 
+@query(
+    f"""with {_PAGE_ROWS}, c as (select pr.a, pr.b, p.text <> q.text and len(lp.l) = len(lq.l) as open from pr join documents p on p.doc_id = pr.a join documents q on q.doc_id = pr.b join ln lp on lp.doc_id = pr.a join ln lq on lq.doc_id = pr.b)
+select a, b, bool_or(text_changed) as changed, cast(count(*) filter (where is_different) as bigint) as n_different from page_rows join c using (a, b) where open group by a, b"""
+)
+def text_changed_pairs(spark, d):
+    """Pairs whose pages are compared at their places: whether the text of any changed, and how many differ."""
+    t = docs(spark, d)
+    c = cascade.compare(t, P.consecutive_pairs(t)).where("strategy = 'all' and n1 > 0")
+    return c.select("a", "b", F.col("text_changed").alias("changed"), F.size("different_pages").cast("long").alias("n_different"))
+
+
+@query(f"with {_LINES}, {_PAIRS} select a, b, cast(case when len(p.l) > len(q.l) then len(p.l) - len(q.l) else 0 end as bigint) as least_deleted, cast(case when len(q.l) > len(p.l) then len(q.l) - len(p.l) else 0 end as bigint) as least_inserted from pr join ln p on p.doc_id = a join ln q on q.doc_id = b where len(p.l) + len(q.l) > 0")
+def align_deleted_inserted(spark, d):
+    """Of pages left over by the alignment, the excess of either side; the rest are as many deleted as inserted."""
+    n = _aligned(spark, d).groupBy("a", "b").agg(F.count_if(F.col("kind") == "deleted").alias("x"), F.count_if(F.col("kind") == "inserted").alias("y"))
+    return n.select("a", "b", (F.col("x") - F.least("x", "y")).cast("long").alias("least_deleted"), (F.col("y") - F.least("x", "y")).cast("long").alias("least_inserted"))
+
+
+@query()
+def align_deleted(spark, d):
+    return _aligned(spark, d).where("kind = 'deleted'").select("a", "b", F.col("p1").alias("page"))
+
+
+@query()
+def align_inserted(spark, d):
+    return _aligned(spark, d).where("kind = 'inserted'").select("a", "b", F.col("p2").alias("page"))
+
+
+@query(f"with {_PAGE_ROWS} select a, b, bool_or(text_changed) as any_changed from page_rows group by a, b")
+def doc_any_changed(spark, d):
+    t = docs(spark, d)
+    return S.summary(cascade.page_rows(t, P.consecutive_pairs(t)), "a", "b").select("a", "b", F.col("text_changed").alias("any_changed"))
+
+
+@query(
+    f"""with {_PAGE_ROWS}, s as (select a, b, avg(similarity) as mean, bool_or(text_changed) as changed from page_rows group by a, b)
+select pr.a, pr.b, case when p.text = q.text then true when len(lp.l) <> len(lq.l) then false when len(lp.l) = 0 then true else coalesce(not changed and mean >= cast(0.95 as double), false) end as alike
+from pr left join s on s.a = pr.a and s.b = pr.b join documents p on p.doc_id = pr.a join documents q on q.doc_id = pr.b join ln lp on lp.doc_id = pr.a join ln lq on lq.doc_id = pr.b"""
+)
+def verdict_similar(spark, d):
+    t = docs(spark, d)
+    return cascade.compare(t, P.consecutive_pairs(t)).select("a", "b", (F.col("status") != "DIFFERENT").alias("alike"))
+
+
+@query("with k as (select kind, verdict, count(*) as n from (select case when n_chars % 7 = 0 then 'error' when n_chars > 1500 then 'same' else 'diff' end as verdict, source as kind from labels l join documents d on d.doc_id = l.doc_id) group by all) select kind, cast(coalesce(sum(n) filter (where verdict = 'same'), 0) as bigint) as same, cast(coalesce(sum(n) filter (where verdict = 'diff'), 0) as bigint) as diff, cast(coalesce(sum(n) filter (where verdict = 'error'), 0) as bigint) as error from k group by kind")
+def accuracy_pivot(spark, d):
+    return _cases(spark, d).groupBy("kind").pivot("verdict", ["same", "diff", "error"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("select page_id as id, md5(html) as content, html is null as must_render from pages")
+def content_hash_pages(spark, d):
+    """Pages of one object, their markup: equal hashes may skip rendering, null ones must not."""
+    p = spark.read.parquet(f"{d}/pages.parquet").select(F.col("page_id").alias("id"), F.lit(0).alias("ord"), F.lit("markup").alias("kind"), F.md5("html").alias("content"), F.lit(True).alias("hashable"))
+    h = C.single_object_hash(p)
+    return h.select("id", "content", F.col("content").isNull().alias("must_render"))
+
+
 @query()
 def result_json(spark, d):
     t = docs(spark, d)
@@ -296,12 +362,13 @@ def dhash_embeddings(spark, d):
 _NEXT = "nx as (select vec_id as a, lead(vec_id) over (partition by label order by vec_id) as b from embeddings)"
 
 
-def _hash_pairs(spark, d):
-    from pyspark.sql import Window
+def _next_vectors(spark, d):
+    return P.consecutive_pairs(spark.read.parquet(f"{d}/embeddings.parquet"), "label", "vec_id")
 
-    e = spark.read.parquet(f"{d}/embeddings.parquet")
+
+def _hash_pairs(spark, d):
     h = _ahash(spark, d)
-    p = e.select(F.col("vec_id").alias("a"), F.lead("vec_id").over(Window.partitionBy("label").orderBy("vec_id")).alias("b")).where("b is not null")
+    p = _next_vectors(spark, d)
     both = p.join(h.withColumnsRenamed({"vec_id": "a", "bits": "x"}), "a").join(h.withColumnsRenamed({"vec_id": "b", "bits": "y"}), "b")
     half = lambda c, at: F.conv(F.substring(c, at, 32), 2, 10).cast("long")
     return both.select("a", "b", (I.hamming(half("x", 1), half("y", 1)) + I.hamming(half("x", 33), half("y", 33))).cast("long").alias("distance"))
@@ -321,6 +388,51 @@ def near_duplicate_hashes(spark, d):
     return _hash_pairs(spark, d).select("a", "b", (c <= 5).alias("near"), (c <= 10).alias("alike"), (c > 15).alias("apart"))
 
 
+def _rasters(spark, d):
+    """Each vector as a grey page of 8 x 8 cells of 16 x 24 pixels: id, page_no, height, width, channels, pixels."""
+    cells = _pixels(spark, d).select(F.col("vec_id").alias("id"), F.transform("p", lambda v: v.cast("int")).alias("cells"))
+    return V.cell_rasters(cells, 8, 8, 16, 24)
+
+
+def _visual(spark, d):
+    return V.compare_rasters(_rasters(spark, d), _next_vectors(spark, d))
+
+
+_CELLS = f"with {_PIX}, {_NEXT}, cp as (select a, b, list_transform(range(1, 65), lambda i: abs(p.p[i] - q.p[i])) as d, list_sum(p.p) / 64.0 as m, list_sum(q.p) / 64.0 as n from nx join px p on p.vec_id = a join px q on q.vec_id = b where b is not null)"
+
+
+@query(f"{_CELLS} select a, b, cast(384 * len(list_filter(d, lambda v: v >= 64)) as bigint) as changed from cp")
+def changed_pixels(spark, d):
+    return _visual(spark, d).select("a", "b", F.col("changed").cast("long").alias("changed"))
+
+
+@query(f"{_CELLS} select a, b, cast(list_max(d) as double) as diff, round(greatest(0.0, 1 - list_max(d) / 120.0), 9) as score from cp")
+def tile_diff(spark, d):
+    return _visual(spark, d).select("a", "b", F.col("tile_diff").alias("diff"), F.round(I.tile_score(F.col("tile_diff")), 9).alias("score"))
+
+
+@query(f"{_CELLS} select a, b, round(greatest(0.0, 1 - sqrt(3 * (m - n) * (m - n)) / 441.67), 6) as similarity from cp")
+def hist_similarity(spark, d):
+    return _visual(spark, d).select("a", "b", F.round("histogram", 6).alias("similarity"))
+
+
+@query()
+def ink_diff(spark, d):
+    v = _visual(spark, d)
+    return v.select("a", "b", "ink", F.round(I.ink_score(F.col("ink")), 9).alias("score"))
+
+
+@query()
+def phash_dct(spark, d):
+    return V.hashes(_rasters(spark, d)).select("id", "dhash", "phash", "ahash")
+
+
+@query()
+def visual_pages(spark, d):
+    """Pages scored from their rasters: histogram, hashes, then tiles and ink."""
+    return V.score_pages(_rasters(spark, d), _next_vectors(spark, d))
+
+
 @query("select i, j, round(greatest(0.0, 1 - sqrt(cast(i as double) * i + cast(j as double) * j) / 441.67), 9) as similarity from range(0, 256, 15) r(i), range(0, 256, 15) q(j)")
 def hist_similarity_grid(spark, d):
     g = spark.range(0, 256, 15).withColumnRenamed("id", "i").crossJoin(spark.range(0, 256, 15).withColumnRenamed("id", "j"))
