@@ -19,13 +19,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import SYMBOLS, Rolling, batch_bytes, dropped, maybe_in, mix, raw, word_bounds, word_hashes, written
+from folio.llm.common import SYMBOLS, Rolling, batch_bytes, dropped, lasting, maybe_in, mix, raw, scratch, word_hashes, written
 
 #: Units whose hashes are held at once; longer documents are read in overlapping parts.
 PART = 1 << 20
+#: Bits of a place in a part, with the windows that reach beyond it.
+_PLACE = 21
 _C, _D = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -38,23 +40,20 @@ def word_units(text: bytes) -> np.ndarray:
 
 
 def _leftmost_minimum(v: np.ndarray, width: int) -> np.ndarray:
-    """For each window of `width` values, the place of its first smallest."""
-    at = np.arange(len(v), dtype=np.int32)
+    """For each window of `width` values, the place of its first smallest. The last bits of a value give way to its place, so that the smallest tells where it is; equal windows still choose alike."""
+    here = np.uint64((1 << _PLACE) - 1)
+    low = (v & ~here) | np.arange(len(v), dtype=np.uint64)
     span = 1
     while 2 * span <= width:
-        right = at[span:]
-        left = at[: len(right)]
-        at = np.where(v[right] < v[left], right, left)
+        low = np.minimum(low[:-span], low[span:])
         span *= 2
     if span < width:
-        right = at[width - span :]
-        left = at[: len(right)]
-        at = np.where(v[right] < v[left], right, left)
-    return at
+        low = np.minimum(low[: span - width], low[width - span :])
+    return (low & here).astype(np.int64)
 
 
-def anchors(units: np.ndarray, length: int, k: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor: name of its k units, name of the run, first window, number of windows. wanted: a flag for each window."""
+def anchors(units: np.ndarray, length: int, k: int, wanted: np.ndarray | None = None, only_names: bool = False) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one anchor: name of its k units, name of the run, first window, number of windows; or the names of the k units alone. wanted: a flag for each window."""
     parts = []
     n = len(units) - length + 1
     for a in range(0, n, PART):
@@ -71,6 +70,9 @@ def anchors(units: np.ndarray, length: int, k: int, wanted: np.ndarray | None =
         keep = on[first]
         first, count = first[keep], count[keep]
         h = names[at[first]]
+        if only_names:
+            parts.append((h,))
+            continue
         if k == length:
             run = h
         else:
@@ -78,10 +80,23 @@ def anchors(units: np.ndarray, length: int, k: int, wanted: np.ndarray | None =
         parts.append((h, run, first + a, count))
     if not parts:
         z = np.zeros(0, np.uint64)
-        return z, z, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return (z,) if only_names else (z, z, np.zeros(0, np.int64), np.zeros(0, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _names(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int, k: int) -> DataFrame:
+    """The names (h) of the k units of the anchors of documents (doc_id, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = (units(raw(t.as_py())) for t in batch.column(1))
+            out = [anchors(u, length, k, only_names=True)[0] for u in found if len(u) >= length]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["h"])
+
+    return docs.mapInArrow(work, "h long")
+
+
 def _rows(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int, k: int) -> DataFrame:
     """Anchors of documents (doc_id, text[, spans])."""
     narrow = "spans" in docs.columns
@@ -115,13 +130,14 @@ def covered(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
 
 
 def repeated(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int, steps: tuple[int, ...], within: bool) -> DataFrame:
-    """Per document with such windows: doc_id, spans (first window, windows) of windows that occur earlier: in a document with a smaller id or, if `within`, also earlier in the same one. steps: the k of each round, the last equal to length."""
+    """Runs of windows (doc_id, at, n: first window and their number) that occur earlier, as they are, at place sat of document src: in a document with a smaller id or, if `within`, also earlier in the same one. Runs of a document don't overlap. steps: the k of each round, the last equal to length."""
     todo, found = docs, []
     for k in steps:
         # the first round's anchors are cheaper to find again than to keep; later rounds would shuffle their texts again
         rows = _rows(todo, units, length, k) if todo is docs else written(_rows(todo, units, length, k))
         # written, so that the join has an exchange on either side and can split a frequent name
-        often = written(rows.groupBy("h").count().where("count > 1").select("h"))
+        names = _names(docs, units, length, k) if todo is docs else rows
+        often = written(names.groupBy("h").count().where("count > 1").select("h"))
         mine = written(rows.join(often, "h"))
         first = mine.groupBy("h", "run").agg(F.min(F.struct("doc_id", "at")).alias("first"))
         first = first.withColumnRenamed("h", "_h").withColumnRenamed("run", "_run")
@@ -129,9 +145,9 @@ def repeated(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int,
         first = first.join(branching.withColumnRenamed("_h", "_h2"), F.col("_h") == F.col("_h2")).drop("_h2")
         joined = mine.join(first, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run")))
         later = F.struct("doc_id", "at") > F.col("first") if within else F.col("doc_id") > F.col("first.doc_id")
-        told = written(joined.select("doc_id", "at", "n", later.alias("later"), (F.col("_runs") > 1).alias("branching")).where("later or branching"))
+        told = written(joined.select("doc_id", "at", "n", F.col("first.doc_id").alias("src"), F.col("first.at").alias("sat"), later.alias("later"), (F.col("_runs") > 1).alias("branching")).where("later or branching"))
         dropped(mine, often, *([] if todo is docs else [rows]))
-        found.append(told.where("later").select("doc_id", "at", "n"))
+        found.append(told.where("later").select("doc_id", "at", "n", "src", "sat"))
         if k == length:
             break
         refine = told.where("not later and branching").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
@@ -140,14 +156,61 @@ def repeated(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int,
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    return written(out.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans")))
+    return out
+
+
+def paths(runs: DataFrame) -> DataFrame:
+    """Runs that follow each other in their document as well as in the source, joined to one: doc_id, at, n, src, sat.
+
+    A run ends in a node. The node has one way in and one way out if a run of the same document starts there and goes on at the source's next place: a join of runs with the runs before and after them leaves those that begin or end a path. Along a document and a source, at one distance from each other, the first that begins belongs to the first that ends, and so on.
+    """
+    line = ["doc_id", "src", "shift"]
+    each = written(runs.withColumn("shift", F.col("sat") - F.col("at")).withColumn("end", F.col("at") + F.col("n")).select(*line, "at", "end"))
+    order = lambda c: F.row_number().over(Window.partitionBy(*line).orderBy(c)).alias("i")
+    begins = each.join(each.select(*line, F.col("end").alias("at")), [*line, "at"], "left_anti").select(*line, "at", order("at"))
+    ends = each.join(each.select(*line, F.col("at").alias("end")), [*line, "end"], "left_anti").select(*line, "end", order("end"))
+    out = written(begins.join(ends, [*line, "i"]).where("end > at").select("doc_id", "at", (F.col("end") - F.col("at")).alias("n"), "src", (F.col("at") + F.col("shift")).alias("sat")))
+    dropped(each)
+    return out
+
+
+def checked(docs: DataFrame, found: DataFrame, digest: Callable[[bytes, np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
+    """Per document with such paths: doc_id, spans (at, n, digest): what stands at the source's coordinates, of which `digest` makes 128 bits. A span is to go only where the document has the same."""
+    asked = written(found.select("src", "sat", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("sat", "n")).alias("spans")))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for r in range(batch.num_rows):
+                spans = batch.column(2)[r].values
+                at, n = spans.field(0).to_numpy(), spans.field(1).to_numpy()
+                i = batch.column(0)[r].as_py()
+                out += [(i, int(x), int(y), d) for x, y, d in zip(at, n, digest(raw(batch.column(1)[r].as_py()), at, n), strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["src", "sat", "n", "digest"])
+
+    sources = maybe_in(docs.withColumnRenamed("doc_id", "src"), asked, "src").join(asked.hint("merge"), "src")
+    # of rows that repeat an id, whichever is longest there; a document that differs keeps its text
+    told = written(sources.select("src", "text", "spans").mapInArrow(work, "src long, sat int, n int, digest binary").groupBy("src", "sat", "n").agg(F.max("digest").alias("digest")))
+    out = found.join(told, ["src", "sat", "n"]).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "digest")).alias("spans"))
+    return lasting(out)
+
+
+def _byte_digests(text: bytes, at: np.ndarray, n: np.ndarray, length: int) -> list[bytes]:
+    return [hashlib.blake2b(text[a : a + k + length - 1], digest_size=16).digest() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
+
+
+def _word_digests(words: list[bytes], at: np.ndarray, n: np.ndarray, length: int) -> list[bytes]:
+    return [hashlib.blake2b(b" ".join(words[a : a + k + length - 1]), digest_size=16).digest() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
 
 
-def unit_flags(spans: pa.StructArray | None, size: int, length: int) -> np.ndarray:
-    """Which of `size` units the windows of the spans cover."""
+def _same(spans: pa.StructArray | None, of: Callable[[np.ndarray, np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the spans that hold what their source holds: first windows and their numbers."""
     if spans is None:
-        return np.zeros(size, bool)
-    return covered(spans.field(0).to_numpy(), spans.field(1).to_numpy() + length - 1, size)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, n = spans.field(0).to_numpy().astype(np.int64), spans.field(1).to_numpy().astype(np.int64)
+    same = np.array([x == y for x, y in zip(of(at, n), spans.field(2).to_pylist(), strict=True)], bool)
+    return at[same], n[same]
 
 
 def plain(docs: DataFrame) -> DataFrame:
@@ -156,7 +219,7 @@ def plain(docs: DataFrame) -> DataFrame:
 
 def _with_spans(docs: DataFrame, spans: DataFrame, work: Callable, schema: str) -> DataFrame:
     """work over all documents: those that the bounded filter rules out have no spans and are not shuffled."""
-    hit = maybe_in(docs, spans).join(spans, "doc_id", "left").select("doc_id", "text", "spans")
+    hit = maybe_in(docs, spans).join(spans.hint("merge"), "doc_id", "left").select("doc_id", "text", "spans")
     rest = maybe_in(docs, spans, how="left_anti").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
     return hit.mapInArrow(work, schema).union(rest.mapInArrow(work, schema))
 
@@ -169,18 +232,22 @@ def _spans_at(batch: pa.RecordBatch, r: int) -> pa.StructArray | None:
 def remove_bytes(docs: DataFrame, length: int = 100, steps: tuple[int, ...] = (32, 72, 100), keep_spans: bool = False) -> DataFrame:
     """Operator 2, suffix-array dedup: per row of docs doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, with keep_spans, `removed`: start and end of each removed run).
 
-    A byte goes if a window of `length` bytes covers it that also starts earlier. Null and empty texts, and texts shorter than a window, keep all. A document without an id keeps all and is nobody's earlier occurrence. Rows that repeat an id are taken to be one document, and each gets its result. Empty input: no rows.
+    A byte goes if a window of `length` bytes covers it that also starts earlier; what goes is compared with the bytes at the source's place before. Null and empty texts, and texts shorter than a window, keep all. A document without an id keeps all and is nobody's earlier occurrence. Rows that repeat an id are taken to be one document, and each gets its result; where their texts differ, only bytes that equal the source's go. Long texts are read in overlapping parts. Empty input: no rows.
     """
     docs = plain(docs)
     batch_bytes(docs.sparkSession)
-    spans = repeated(docs.where("doc_id is not null"), byte_units, length, steps, True)
+    with scratch():
+        known = docs.where("doc_id is not null")
+        spans = checked(known, paths(repeated(known, byte_units, length, steps, True)), lambda text, at, n: _byte_digests(text, at, n, length))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in range(batch.num_rows):
-                a = np.frombuffer(raw(batch.column(1)[r].as_py()), np.uint8)
-                gone = unit_flags(_spans_at(batch, r), len(a), length)
+                text = raw(batch.column(1)[r].as_py())
+                a = np.frombuffer(text, np.uint8)
+                at, n = _same(_spans_at(batch, r), lambda x, y, text=text: _byte_digests(text, x, y, length))
+                gone = covered(at, n + length - 1, len(a))
                 edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
                 runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
                 out.append((batch.column(0)[r].as_py(), len(a), int(gone.sum()), len(runs), hashlib.sha256(a[~gone].tobytes()).hexdigest(), [{"start": s, "end": e} for s, e in runs]))
@@ -195,20 +262,23 @@ def remove_bytes(docs: DataFrame, length: int = 100, steps: tuple[int, ...] = (3
 def remove_words(docs: DataFrame, length: int = 13, steps: tuple[int, ...] = (5, 13), keep_text: bool = False) -> DataFrame:
     """Operator 9, substring dedup by De Bruijn compaction: per row of docs doc_id, n_words, n_removed, kept_sha256 (and, with keep_text, the kept words).
 
-    Windows of `length` words are the edges of a graph. A run of windows between two anchors is a path without a branch as long as all its occurrences go on alike; such paths stay compact and are compared as one. Where k words stand in several runs the graph branches, and the path is taken apart into its edges. A word goes if a window covers it that also starts in a document with a smaller id, at the coordinates its run was found.
+    Windows of `length` words are the edges of a graph whose nodes are the `length` - 1 words that two windows share. Edges are dealt by the smallest hash of the k words within, so that neighbours stay together: a run of them is one long edge. Where a bucket holds but one run, the graph does not branch within, and the run is decided whole; other runs are taken apart into their edges. Decided runs become paths, and a path's words are compared with those at its source's coordinates (see paths and checked). A word goes if a window covers it that also starts in a document with a smaller id.
 
-    Null, empty and short texts keep all words. A document without an id keeps all and is nobody's earlier occurrence. Rows that repeat an id are taken to be one document. Empty input: no rows.
+    Null, empty and short texts keep all words. A document without an id keeps all and is nobody's earlier occurrence. Rows that repeat an id are taken to be one document; where their texts differ, only words that equal the source's go. Long texts are read in overlapping parts. Empty input: no rows.
     """
     docs = plain(docs)
     batch_bytes(docs.sparkSession)
-    spans = repeated(docs.where("doc_id is not null"), word_units, length, steps, False)
+    with scratch():
+        known = docs.where("doc_id is not null")
+        spans = checked(known, paths(repeated(known, word_units, length, steps, False)), lambda text, at, n: _word_digests(text.split(), at, n, length))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in range(batch.num_rows):
                 words = raw(batch.column(1)[r].as_py()).split()
-                gone = unit_flags(_spans_at(batch, r), len(words), length)
+                at, n = _same(_spans_at(batch, r), lambda x, y, words=words: _word_digests(words, x, y, length))
+                gone = covered(at, n + length - 1, len(words))
                 kept = b" ".join([words[i] for i in np.flatnonzero(~gone)] if gone.any() else words)
                 out.append((batch.column(0)[r].as_py(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
             cols = list(zip(*out, strict=True)) or [()] * 5
