@@ -28,7 +28,7 @@ from folio.llm.common import SYMBOLS, Rolling, batch_bytes, dropped, lasting, ma
 PART = 1 << 20
 #: Bits of a place in a part, with the windows that reach beyond it.
 _PLACE = 21
-_C, _D = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
+_C = np.uint64(0xA0761D6478BD642F)
 
 
 def byte_units(text: bytes) -> np.ndarray:
@@ -52,6 +52,11 @@ def _leftmost_minimum(v: np.ndarray, width: int) -> np.ndarray:
     return (low & here).astype(np.int64)
 
 
+def run_names(units: np.ndarray, at: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Names of runs of windows by all their units; from other symbols than the names of anchors, so that both together have 128 bits."""
+    return Rolling(mix(units ^ _C)).of(at, at + n + length - 1)
+
+
 def anchors(units: np.ndarray, length: int, k: int, wanted: np.ndarray | None = None, only_names: bool = False) -> tuple[np.ndarray, ...]:
     """Runs of windows with one anchor: name of its k units, name of the run, first window, number of windows; or the names of the k units alone. wanted: a flag for each window."""
     parts = []
@@ -73,10 +78,7 @@ def anchors(units: np.ndarray, length: int, k: int, wanted: np.ndarray | None =
         if only_names:
             parts.append((h,))
             continue
-        if k == length:
-            run = h
-        else:
-            run = mix(part.of(first, first + count + length - 1) ^ ((at[first] - first).astype(np.uint64) * _C + count.astype(np.uint64) * _D))
+        run = run_names(units[a : b + length - 1], first, count, length)
         parts.append((h, run, first + a, count))
     if not parts:
         z = np.zeros(0, np.uint64)
@@ -130,7 +132,8 @@ def covered(at: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
 
 
 def repeated(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int, steps: tuple[int, ...], within: bool) -> DataFrame:
-    """Runs of windows (doc_id, at, n: first window and their number) that occur earlier, as they are, at place sat of document src: in a document with a smaller id or, if `within`, also earlier in the same one. Runs of a document don't overlap. steps: the k of each round, the last equal to length."""
+    """Runs of windows (doc_id, at, n: first window and their number) that occur earlier, as they are: with `within`, in a document with a smaller id or earlier in the same one, and the run's name; else only in a document with a smaller id, with its first occurrence (document src, place sat). Runs of a document don't overlap. steps: the k of each round, the last equal to length."""
+    more = [F.col("run")] if within else [F.col("first.doc_id").alias("src"), F.col("first.at").alias("sat")]
     todo, found = docs, []
     for k in steps:
         # the first round's anchors are cheaper to find again than to keep; later rounds would shuffle their texts again
@@ -145,9 +148,9 @@ def repeated(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int,
         first = first.join(branching.withColumnRenamed("_h", "_h2"), F.col("_h") == F.col("_h2")).drop("_h2")
         joined = mine.join(first, (F.col("h") == F.col("_h")) & (F.col("run") == F.col("_run")))
         later = F.struct("doc_id", "at") > F.col("first") if within else F.col("doc_id") > F.col("first.doc_id")
-        told = written(joined.select("doc_id", "at", "n", F.col("first.doc_id").alias("src"), F.col("first.at").alias("sat"), later.alias("later"), (F.col("_runs") > 1).alias("branching")).where("later or branching"))
+        told = written(joined.select("doc_id", "at", "n", *more, later.alias("later"), (F.col("_runs") > 1).alias("branching")).where("later or branching"))
         dropped(mine, often, *([] if todo is docs else [rows]))
-        found.append(told.where("later").select("doc_id", "at", "n", "src", "sat"))
+        found.append(told.where("later").drop("later", "branching"))
         if k == length:
             break
         refine = told.where("not later and branching").groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
@@ -196,20 +199,18 @@ def checked(docs: DataFrame, found: DataFrame, digest: Callable[[bytes, np.ndarr
     return lasting(out)
 
 
-def _byte_digests(text: bytes, at: np.ndarray, n: np.ndarray, length: int) -> list[bytes]:
-    return [hashlib.blake2b(text[a : a + k + length - 1], digest_size=16).digest() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
-
-
 def _word_digests(words: list[bytes], at: np.ndarray, n: np.ndarray, length: int) -> list[bytes]:
     return [hashlib.blake2b(b" ".join(words[a : a + k + length - 1]), digest_size=16).digest() for a, k in zip(at.tolist(), n.tolist(), strict=True)]
 
 
-def _same(spans: pa.StructArray | None, of: Callable[[np.ndarray, np.ndarray], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the spans that hold what their source holds: first windows and their numbers."""
+def _same(spans: pa.StructArray | None, of: Callable[[np.ndarray, np.ndarray], list], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the spans that lie within the text and hold what they are said to: first windows and their numbers. most: the text's windows."""
     if spans is None:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     at, n = spans.field(0).to_numpy().astype(np.int64), spans.field(1).to_numpy().astype(np.int64)
-    same = np.array([x == y for x, y in zip(of(at, n), spans.field(2).to_pylist(), strict=True)], bool)
+    fits = np.flatnonzero(at + n <= most)
+    said = spans.field(2).to_pylist()
+    same = fits[np.array([x == said[i] for i, x in zip(fits, of(at[fits], n[fits]), strict=True)], bool)]
     return at[same], n[same]
 
 
@@ -232,13 +233,13 @@ def _spans_at(batch: pa.RecordBatch, r: int) -> pa.StructArray | None:
 def remove_bytes(docs: DataFrame, length: int = 100, steps: tuple[int, ...] = (32, 72, 100), keep_spans: bool = False) -> DataFrame:
     """Operator 2, suffix-array dedup: per row of docs doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and, with keep_spans, `removed`: start and end of each removed run).
 
-    A byte goes if a window of `length` bytes covers it that also starts earlier; what goes is compared with the bytes at the source's place before. Null and empty texts, and texts shorter than a window, keep all. A document without an id keeps all and is nobody's earlier occurrence. Rows that repeat an id are taken to be one document, and each gets its result; where their texts differ, only bytes that equal the source's go. Long texts are read in overlapping parts. Empty input: no rows.
+    A byte goes if a window of `length` bytes covers it that also starts earlier. Equality is that of 128 bits: the anchor's name and the run's. Null and empty texts, and texts shorter than a window, keep all. A document without an id keeps all and is nobody's earlier occurrence. Rows that repeat an id are taken to be one document, and each gets its result; where their texts differ, a span goes only where a row's own bytes have its name. Long texts are read in overlapping parts. Empty input: no rows.
     """
     docs = plain(docs)
     batch_bytes(docs.sparkSession)
     with scratch():
         known = docs.where("doc_id is not null")
-        spans = checked(known, paths(repeated(known, byte_units, length, steps, True)), lambda text, at, n: _byte_digests(text, at, n, length))
+        spans = lasting(repeated(known, byte_units, length, steps, True).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "run")).alias("spans")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +247,7 @@ def remove_bytes(docs: DataFrame, length: int = 100, steps: tuple[int, ...] = (3
             for r in range(batch.num_rows):
                 text = raw(batch.column(1)[r].as_py())
                 a = np.frombuffer(text, np.uint8)
-                at, n = _same(_spans_at(batch, r), lambda x, y, text=text: _byte_digests(text, x, y, length))
+                at, n = _same(_spans_at(batch, r), lambda x, y, text=text: run_names(byte_units(text), x, y, length).view(np.int64).tolist(), len(a) - length + 1)
                 gone = covered(at, n + length - 1, len(a))
                 edge = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
                 runs = list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
@@ -277,7 +278,7 @@ def remove_words(docs: DataFrame, length: int = 13, steps: tuple[int, ...] = (5,
             out = []
             for r in range(batch.num_rows):
                 words = raw(batch.column(1)[r].as_py()).split()
-                at, n = _same(_spans_at(batch, r), lambda x, y, words=words: _word_digests(words, x, y, length))
+                at, n = _same(_spans_at(batch, r), lambda x, y, words=words: _word_digests(words, x, y, length), len(words) - length + 1)
                 gone = covered(at, n + length - 1, len(words))
                 kept = b" ".join([words[i] for i in np.flatnonzero(~gone)] if gone.any() else words)
                 out.append((batch.column(0)[r].as_py(), len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
