@@ -10,10 +10,10 @@ words that are missing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import WORD, written
+from folio.llm.common import WORD, lasting, scratch, written
 
 WEIGHTS = (5, 2, 1)
 #: Ranges of keys in each source: hex digits of the key.
@@ -73,31 +73,43 @@ def mix_report(docs: DataFrame) -> DataFrame:
     return takes(sized, targets(sized)).drop("key")
 
 
+def _source(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def cuts(sized: DataFrame, goal: DataFrame) -> DataFrame:
-    """One row for each source: its epochs, and the last document of the last epoch with the words it gives."""
+    """One row for each source: its epochs, and the last document of the last epoch with the words it gives; of rows that repeat that document, with the words they give together."""
     order = F.struct("key", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "size")
     t = takes(sized, goal)
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     part = F.col("taken") - epochs * F.col("size")
-    t = t.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_s"), epochs.alias("_epochs"), F.when(part > 0, F.struct(order.alias("at"), part.alias("words"))).alias("_last"))
-    return t.groupBy("_s").agg(F.max("_epochs").alias("_epochs"), F.max("_last").alias("_last"))
+    t = t.select(_source(F.col("source")).alias("_s"), epochs.alias("_epochs"), order.alias("at"), part.alias("words"))
+    t = t.groupBy("_s", "at").agg(F.max("_epochs").alias("_epochs"), F.sum("words").alias("words"))
+    return t.groupBy("_s").agg(F.max("_epochs").alias("_epochs"), F.max(F.when(F.col("words") > 0, F.struct("at", "words"))).alias("_last"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """The mix itself: rows of docs with all their columns, one for each time a document is taken. The document on a source's cut gives its first words, joined by one space.
+    """The mix itself: rows of docs with all their columns, whatever their names, one for each time a document is taken. The document on a source's cut gives its first words, joined by one space.
 
-    Only the cuts, a row for each source, are joined to the texts. Documents without words cost nothing and are kept once. Documents with equal ids and sizes in one source share a fate.
+    Only the cuts, a row for each source, are joined to the texts. Documents without words, and null texts, cost nothing and are kept once. Of rows that repeat the document on the cut, one after another (by the hash of the text) gives its words until the budget is met. The null source is a source of its own. Long texts are counted whole. Empty input: no rows.
     """
     cols = docs.columns
-    sized = written(sizes(docs))
-    at = written(cuts(sized, targets(sized, weights, most)))
-    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")), F.lit("/mix")))
-    size = F.expr(SIZE)
-    rows = docs.select(F.struct(*cols).alias("_d"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("_s"), F.struct(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), size.alias("size")).alias("_at"))
-    rows = rows.join(at, "_s")
-    words = F.when(F.col("_last").isNull() | (F.col("_at") > F.col("_last.at")), 0).when(F.col("_at") < F.col("_last.at"), F.col("_at.size")).otherwise(F.col("_last.words"))
-    rows = rows.withColumn("_words", words.cast("long"))
+    with scratch():
+        sized = written(sizes(docs))
+        at = lasting(cuts(sized, targets(sized, weights, most)))
+    doc_id = F.coalesce(F.col("_d.doc_id").cast("long"), F.lit((1 << 63) - 1))
+    key = F.md5(F.concat(F.coalesce(F.col("_d.doc_id").cast("long").cast("string"), F.lit("")), F.lit("/mix")))
+    size = F.expr(SIZE.replace("(text,", "(cast(_d.text as string),"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_d"))
+    rows = rows.select("_d", _source(F.col("_d.source")).alias("_s"), F.struct(key.alias("key"), doc_id.alias("doc_id"), size.alias("size")).alias("_at")).join(at, "_s")
+    cut = F.coalesce(F.col("_at") == F.col("_last.at"), F.lit(False))
+    words = F.when(F.coalesce(F.col("_at") < F.col("_last.at"), F.lit(False)), F.col("_at.size")).otherwise(0)
+    others = rows.where(~cut).withColumn("_words", words.cast("long"))
+    # the rows of one id in each source
+    i = F.row_number().over(Window.partitionBy("_s").orderBy(F.xxhash64("_d.text")))
+    tied = rows.where(cut).withColumn("_words", F.least(F.greatest(F.col("_last.words") - (i - 1) * F.col("_at.size"), F.lit(0)), F.col("_at.size")).cast("long"))
+    rows = others.unionByName(tied)
     part = (F.col("_words") > 0) & (F.col("_words") < F.col("_at.size"))
     times = F.when(F.col("_at.size") == 0, 1).otherwise(F.col("_epochs") + (F.col("_words") > 0).cast("int")).cast("int")
     rows = rows.where(times > 0).withColumn("_e", F.explode(F.sequence(F.lit(1), times))).withColumn("_cut", part & (F.col("_e") == times))

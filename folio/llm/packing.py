@@ -177,5 +177,8 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 1024, end: int = 2) -> DataFrame:
-    """Token pieces of all documents, packed; a null text is empty and takes one token, the end id."""
+    """Token pieces of all documents, packed: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text takes one token, the end id. Documents of more than `size` tokens, however long, are cut into pieces; others stay whole. Null ids are packed as any other; rows that repeat give pieces that repeat, and equal pieces may swap their places. Other columns are not looked at. Empty input: no rows.
+    """
     return pack(token_pieces(docs, path, size, end), size)

@@ -163,7 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             yield out
 
     batch_bytes(spark)
-    sample = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(known), "doc_id").select("_y", "text")
+    sample = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(known), "doc_id")
+    # one text of an id, so that rows that repeat it do not add to what the driver gets
+    sample = sample.groupBy("doc_id").agg(F.max(F.struct("_y", "text")).alias("s")).select("s._y", "s.text")
     pdf = sample.mapInPandas(measure, schema).toPandas()  # bounded: `most` rows of statistics
     pdf = pdf.sort_values(list(pdf.columns)).reset_index(drop=True)
     return fit(pdf.iloc[:, 1:].to_numpy(float), pdf["y"].to_numpy(float))
@@ -187,8 +189,10 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with their columns, which the classifier accepts."""
+    """The rows of docs, with their columns, whatever their names, which the classifier accepts.
+
+    Null and empty texts are scored as texts without words; null ids and repeated rows are scored as any other; long texts are measured whole. Ties with the threshold are accepted. Empty input: no rows.
+    """
     batch_bytes(docs.sparkSession)
-    cols = docs.columns
-    out = docs.select(*[F.col(f"`{c}`") for c in cols], score_column(train(docs, labels), F.col("text").cast("string")).alias("_score_"))
-    return out.where(F.col("_score_") >= threshold).drop("_score_")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), score_column(train(docs, labels), F.col("text").cast("string")).alias("score"))
+    return rows.where(F.col("score") >= threshold).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
