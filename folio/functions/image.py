@@ -177,3 +177,12 @@ def ink_score(n: Column) -> Column:
 
 def tile_score(d: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - d / F.lit(TILE_SCALE))
+
+
+def combined_distance(d: Column, p: Column) -> Column:
+    """Of two hashes' distances, the mean as a whole number."""
+    return F.floor((d + p) / 2).cast("long")
+
+
+def combined_similarity(d: Column, p: Column) -> Column:
+    return (hash_similarity(d) + hash_similarity(p)) / 2

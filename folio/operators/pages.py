@@ -56,3 +56,16 @@ def worker_cap(width: Column, height: Column, max_mb: int, workers: int) -> Colu
     """Workers that the largest page's two rasters leave room for."""
     page = width.cast("long") * height * 4
     return F.when(page <= 0, 1).otherwise(F.least(F.greatest(F.floor(F.lit(max_mb << 20) / (8.0 * page / 4)), F.lit(1)), F.lit(workers)))
+
+
+def largest_page(pages: DataFrame, *by: str) -> DataFrame:
+    """Per pair, of pages (width, height) of both documents: the most bytes a raster takes."""
+    return pages.groupBy(*by).agg(F.max(F.col("width").cast("long") * F.col("height") * 4).alias("bytes"))
+
+
+def paired(left: DataFrame, right: DataFrame, *key: str) -> DataFrame:
+    """Renders (key, value, err) of either side by page: x, y, and err where either failed or is missing; a failed side drops its partner's value."""
+    both = left.select(*key, F.col("value").alias("x"), F.col("err").alias("_l"), F.lit(True).alias("_a")).join(right.select(*key, F.col("value").alias("y"), F.col("err").alias("_r"), F.lit(True).alias("_b")), list(key), "full")
+    gone = F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.lit("page is missing on one side"))
+    err = F.coalesce("_l", "_r", gone)
+    return both.select(*key, F.when(err.isNull(), F.col("x")).alias("x"), F.when(err.isNull(), F.col("y")).alias("y"), err.alias("err"))

@@ -24,3 +24,22 @@ def missing(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 def contained(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     """inner (key, start, end) with the outer ranges (key, first, last, name) that hold them."""
     return inner.join(outer, key).where("start >= first and end <= last")
+
+
+def product(cases: DataFrame, tools: list[str]) -> DataFrame:
+    """Every tool on every case: a row each, by an array of the tools' names in the row."""
+    return cases.withColumn("tool", F.explode(F.array(*[F.lit(t) for t in tools])))
+
+
+def merged_coverage(blocks: DataFrame, *span: str) -> DataFrame:
+    """One row for each span; hit if any of its blocks was."""
+    return blocks.groupBy(*span).agg(F.bool_or("hit").alias("hit"))
+
+
+def joined_errors(pages: DataFrame, by: str) -> DataFrame:
+    """Of pages (page, err), per document: null without an error, else one message that names the pages in order."""
+    each = F.array_sort(F.collect_list(F.when(F.col("err").isNotNull(), F.struct("page", "err"))))
+    told = F.transform("_e", lambda e: F.concat(F.lit("page "), e["page"].cast("string"), F.lit(": "), e["err"]))
+    rows = pages.groupBy(by).agg(each.alias("_e"))
+    n = F.size("_e")
+    return rows.select(by, F.when(n == 1, told[0]).when(n > 1, F.concat(n.cast("string"), F.lit(" pages failed: "), F.array_join(told, "; "))).alias("message"))

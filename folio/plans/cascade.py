@@ -15,6 +15,7 @@ from folio.operators import pages as P
 from folio.operators import score as S
 from folio.operators.align import align_documents
 from folio.options import Options
+from folio.plans.cut import kept
 
 
 def _sides(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -48,9 +49,29 @@ def _scored(both: DataFrame, *more: str) -> DataFrame:
 
 
 def page_rows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, page_no, similarity (of the pages' words), text_changed, tile_changed, is_different for pages at equal places."""
+    """a, b, page_no, similarity (of the pages' words), text_changed, tile_changed, is_different for pages at equal places; of pairs with a `sample` (pages from 0), for those pages alone."""
     left, right = _sides(docs)
-    return _scored(pairs.select("a", "b").join(left, "a").join(right.withColumnRenamed("page2", "page_no"), ["b", "page_no"]))
+    at = pairs.select("a", "b", *(["sample"] if "sample" in pairs.columns else [])).join(left, "a")
+    if "sample" in pairs.columns:
+        at = at.where(F.array_contains("sample", (F.col("page_no") - 1).cast("int")))
+    return _scored(at.join(right.withColumnRenamed("page2", "page_no"), ["b", "page_no"]))
+
+
+def sampled_rows(docs: DataFrame, pairs: DataFrame, options: Options) -> DataFrame:
+    """page_rows of pairs (a, b, n1) with as many pages, of those the sampling selects. `auto` takes a strategic sample, and all pages of the pairs that it leaves open."""
+    if options.sampling == "all":
+        return page_rows(docs, pairs)
+    n = F.col("n1").cast("int")
+    some = P.thumbnail_pages(n) if options.sampling == "thumbnail" else P.strategic_pages(n)
+    pairs = pairs.withColumn("sample", some)
+    rows = page_rows(docs, pairs)
+    if options.sampling != "auto":
+        return rows
+    rows = kept(rows)
+    s = S.summary(rows, "a", "b").join(pairs.select("a", "b", "n1"), ["a", "b"])
+    more = S.needs_full_scan(F.lit(True), F.col("pages_compared"), F.col("n1"), F.col("worst"), F.col("text_changed"), F.col("tile_changed"), options.threshold, options.text_change == "fails", options.tiles)
+    more = kept(s.where(more).select("a", "b"))
+    return rows.join(more, ["a", "b"], "left_anti").unionByName(page_rows(docs, more))
 
 
 def aligned_rows(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -67,7 +88,7 @@ def compare(docs: DataFrame, pairs: DataFrame, options: Options = Options()) ->
     stage = F.when(F.col("s1") == F.col("s2"), "bytes").when((F.col("n1") == 0) & (F.col("n2") == 0), "empty documents").when((F.col("n1") == 0) | (F.col("n2") == 0), "empty document mismatch").when(F.col("n1") == F.col("n2"), "all").otherwise("page count mismatch, aligned")
     aligned = F.col("strategy") == "page count mismatch, aligned"
     both = both.withColumn("strategy", F.lit("bytes") if options.mode == "byte" else stage)
-    rows = page_rows(docs, both.where("strategy = 'all'")).unionByName(aligned_rows(docs, both.where(aligned)), allowMissingColumns=True)
+    rows = sampled_rows(docs, both.where("strategy = 'all'"), options).unionByName(aligned_rows(docs, both.where(aligned)), allowMissingColumns=True)
     moved = [F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col(p)))).alias(k) for k, p in (("deleted", "page_no"), ("inserted", "page2"))]
     summed = S.summary(rows, "a", "b", more=moved).select("a", "b", "mean", F.col("text_changed").alias("changed"), "different_pages", "deleted", "inserted")
     out = both.join(summed, ["a", "b"], "left")

@@ -17,6 +17,7 @@ from folio.operators import report as R
 from folio.operators import score as S
 from folio.operators import visual as V
 from folio.operators.align import align_documents
+from folio.options import Options
 from folio.plans import cascade
 from folio.sources.sinks import as_json
 
@@ -260,7 +261,7 @@ select a, b, bool_or(text_changed) as changed, cast(count(*) filter (where is_di
 def text_changed_pairs(spark, d):
     """Pairs whose pages are compared at their places: whether the text of any changed, and how many differ."""
     t = docs(spark, d)
-    c = cascade.compare(t, P.consecutive_pairs(t)).where("strategy = 'all' and n1 > 0")
+    c = cascade.compare(t, P.consecutive_pairs(t), Options(sampling="all")).where("strategy = 'all' and n1 > 0")
     return c.select("a", "b", F.col("text_changed").alias("changed"), F.size("different_pages").cast("long").alias("n_different"))
 
 
@@ -422,6 +423,32 @@ def ink_diff(spark, d):
     return v.select("a", "b", "ink", F.round(I.ink_score(F.col("ink")), 9).alias("score"))
 
 
+@query(f"{_CELLS} select max(a) as a, count(*) filter (where list_max(d) < 64) as invisible from cp")
+def invisible_changes(spark, d):
+    v = _visual(spark, d)
+    return v.agg(F.max("a").alias("a"), F.count_if(F.col("changed") == 0).alias("invisible"))
+
+
+@query("select l_orderkey, l_linenumber, bool_or(l_quantity > 25) as hit from lineitem group by all")
+def coverage_merge(spark, d):
+    l = spark.read.parquet(f"{d}/lineitem.parquet")
+    return R.merged_coverage(l.withColumn("hit", F.col("l_quantity") > 25), "l_orderkey", "l_linenumber")
+
+
+@query("select source, case count(*) filter (where n_chars % 50 = 0) when 0 then null when 1 then any_value('page ' || doc_id || ': unreadable') filter (where n_chars % 50 = 0) else (count(*) filter (where n_chars % 50 = 0)) || ' pages failed: ' || string_agg('page ' || doc_id || ': unreadable', '; ' order by doc_id) filter (where n_chars % 50 = 0) end as message from documents group by source")
+def joined_errors(spark, d):
+    t = docs(spark, d).select("source", F.col("doc_id").alias("page"), F.when(F.col("n_chars") % 50 == 0, "unreadable").alias("err"))
+    return R.joined_errors(t, "source")
+
+
+@query("select a.doc_id as page, a.doc_id % 3 <> 0 and b.doc_id is not null as whole from (select * from documents where doc_id % 2 = 0) a left join (select * from documents where doc_id % 5 <> 0) b on a.doc_id = b.doc_id union all select doc_id, false from documents where doc_id % 5 <> 0 and doc_id % 2 <> 0")
+def render_pairing(spark, d):
+    t = docs(spark, d).select(F.col("doc_id").alias("page"), F.col("n_chars").alias("value"))
+    left = t.where("page % 2 = 0").withColumn("err", F.when(F.col("page") % 3 == 0, "failed"))
+    right = t.where("page % 5 <> 0").withColumn("err", F.lit(None).cast("string"))
+    return P.paired(left, right, "page").select("page", F.col("err").isNull().alias("whole"))
+
+
 @query()
 def phash_dct(spark, d):
     return V.hashes(_rasters(spark, d)).select("id", "dhash", "phash", "ahash")
@@ -446,6 +473,14 @@ def memory_workers_grid(spark, d):
     return g.select("w", "h", P.worker_cap(F.col("w"), F.col("h"), 512, 7).cast("long").alias("workers"))
 
 
+@query(f"{_DIST} select a, b, distance // 2 as combined, (1 - cast(distance as double) / 64 + 1) / 2 as similarity from hd")
+def combined_hashes(spark, d):
+    """Two hashes as one: here the hash of each vector and, equal on both sides, a constant one."""
+    h = _hash_pairs(spark, d)
+    zero = F.lit(0).cast("long")
+    return h.select("a", "b", I.combined_distance(F.col("distance"), zero).alias("combined"), I.combined_similarity(F.col("distance"), zero).alias("similarity"))
+
+
 _CASES = "cs as materialized (select l.doc_id, case when quality = 1 then 'same' else 'diff' end as label, case when n_chars % 7 = 0 then 'error' when n_chars > 1500 then 'same' else 'diff' end as verdict, source as kind from labels l join documents d on d.doc_id = l.doc_id)"
 
 
@@ -472,6 +507,11 @@ def accuracy_median(spark, d):
     return docs(spark, d).groupBy("source").agg(F.median(F.col("n_chars").cast("double")).alias("median_chars"), F.sum("n_chars").alias("total_chars"))
 
 
+@query(f"with {_CASES} select tool, cast(count(*) as bigint) as n, cast(count(*) filter (where verdict = 'error') as bigint) as errors from cs, (values ('one'), ('two')) t(tool) group by tool")
+def tool_case_product(spark, d):
+    return R.product(_cases(spark, d), ["one", "two"]).groupBy("tool").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "error").alias("errors"))
+
+
 @query("select doc_id from documents where doc_id not in (select doc_id from labels)")
 def resume_anti_join(spark, d):
     return R.missing(docs(spark, d).select("doc_id"), spark.read.parquet(f"{d}/labels.parquet"), ["doc_id"])
