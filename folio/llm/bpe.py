@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folio.llm.common import batch_bytes
+from folio.llm.common import batch_bytes, released
 
 #: Units kept in a worker's memory; beyond that it starts anew.
 CACHE_UNITS = 800_000
@@ -250,7 +250,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, keep_table: bool
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in batches:
+        for batch in released(batches):
             out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars", "table")}
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py() or ""
@@ -276,7 +276,7 @@ def token_pieces(docs: DataFrame, path: str, size: int = 1024, end: int = 2) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(path)
-        for batch in batches:
+        for batch in released(batches):
             rows: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = code.text_ids(text.as_py() or "") + last

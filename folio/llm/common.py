@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,14 @@ def batch_bytes(spark: SparkSession, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def released(batches: Iterator) -> Iterator:
+    """The batches of a task. At its end the Python worker, which waits for the next task while the JVM works, gives back the memory that its allocators hold."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def id_filter(ids: DataFrame, col: str) -> DataFrame:
     """A bitmap of hashed ids of fixed size (at most FILTER_WORDS rows of 64 bits). It may let others pass, never loses an id: an exact join must follow."""
     h = F.xxhash64(F.col(col))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import batch_bytes, components, lasting, maybe_in, mix, raw, scratch, word_hashes, written
+from folio.llm.common import batch_bytes, components, lasting, maybe_in, mix, raw, released, scratch, word_hashes, written
 
 #: Groups of a point in the leaves; documents of an inner box; documents of a leaf.
 GROUPS, NODE, LEAF = 256, 16, 256
@@ -104,7 +104,7 @@ def sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     batch_bytes(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             n, h1, h2, spare, keys, at, rounds = [], [], [], [], [], [0], [0]
             for text in batch.column(1):
                 s = shingles(text.as_py(), words)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folio.llm import flac
-from folio.llm.common import batch_bytes, raw
+from folio.llm.common import batch_bytes, raw, released
 
 #: Bytes that one call of the codec gets, unless one payload alone is longer.
 GROUP = 2 << 20
@@ -39,7 +39,7 @@ def store(docs: DataFrame, keep_media: bool = True) -> DataFrame:
     names = [k for k in _KINDS if keep_media or k != "media"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             group: list[tuple] = []
             size = 0
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -72,7 +72,7 @@ def pcm_blocks(media: DataFrame) -> DataFrame:
     """From rows (doc_id, media): a row for each frame with its sample_offset, n_samples and pcm (signed 8-bit), so that any range is found by its offset."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             for i, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 m = m.as_py()
                 if m is None:

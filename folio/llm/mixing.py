@@ -102,13 +102,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> D
     key = F.md5(F.concat(F.coalesce(F.col("_d.doc_id").cast("long").cast("string"), F.lit("")), F.lit("/mix")))
     size = F.expr(SIZE.replace("(text,", "(cast(_d.text as string),"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_d"))
-    rows = rows.select("_d", _source(F.col("_d.source")).alias("_s"), F.struct(key.alias("key"), doc_id.alias("doc_id"), size.alias("size")).alias("_at")).join(at, "_s")
-    cut = F.coalesce(F.col("_at") == F.col("_last.at"), F.lit(False))
-    words = F.when(F.coalesce(F.col("_at") < F.col("_last.at"), F.lit(False)), F.col("_at.size")).otherwise(0)
-    others = rows.where(~cut).withColumn("_words", words.cast("long"))
-    # the rows of one id in each source
-    i = F.row_number().over(Window.partitionBy("_s").orderBy(F.xxhash64("_d.text")))
-    tied = rows.where(cut).withColumn("_words", F.least(F.greatest(F.col("_last.words") - (i - 1) * F.col("_at.size"), F.lit(0)), F.col("_at.size")).cast("long"))
+    rows = rows.select("_d", _source(F.col("_d.source")).alias("_s"), doc_id.alias("_i")).join(at, "_s")
+    here = F.struct(key.alias("key"), F.col("_i").alias("doc_id"), size.alias("size")).alias("_at")
+    same = F.coalesce(F.col("_i") == F.col("_last.at.doc_id"), F.lit(False))
+    others = rows.where(~same).select("_d", "_s", "_epochs", "_last", here)
+    others = others.withColumn("_words", F.when(F.coalesce(F.col("_at") < F.col("_last.at"), F.lit(False)), F.col("_at.size")).otherwise(0).cast("long"))
+    # the rows of one id in each source: before the cut, on it or after
+    tied = rows.where(same).select("_d", "_s", "_epochs", "_last", here)
+    i = F.row_number().over(Window.partitionBy("_s", "_at").orderBy(F.xxhash64("_d.text")))
+    on = F.least(F.greatest(F.col("_last.words") - (i - 1) * F.col("_at.size"), F.lit(0)), F.col("_at.size"))
+    tied = tied.withColumn("_on", on).withColumn("_words", F.when(F.col("_at") < F.col("_last.at"), F.col("_at.size")).when(F.col("_at") == F.col("_last.at"), F.col("_on")).otherwise(0).cast("long")).drop("_on")
     rows = others.unionByName(tied)
     part = (F.col("_words") > 0) & (F.col("_words") < F.col("_at.size"))
     times = F.when(F.col("_at.size") == 0, 1).otherwise(F.col("_epochs") + (F.col("_words") > 0).cast("int")).cast("int")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.llm.bpe import token_pieces
-from folio.llm.common import written
+from folio.llm.common import released, written
 
 BUCKETS = 256
 
@@ -161,7 +161,7 @@ def pack(pieces: DataFrame, size: int = 1024) -> DataFrame:
     ranked = ranked.join(before, ["length", "_bucket"]).select(*cols, (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             length, rank = (batch.column(c).to_numpy() for c in ("length", "_rank"))
             out = np.zeros((2, len(length)), np.int64)
             for x in np.unique(length):

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import batch_bytes, raw, word_bounds, Rolling, SYMBOLS
+from folio.llm.common import batch_bytes, raw, word_bounds, Rolling, SYMBOLS, released
 
 #: The most labelled rows that a fit reads.
 MAX_TRAIN = 20_000
@@ -153,20 +153,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("_y"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    schema = "y int, " + ", ".join(f"x{i} double" for i in range(len(STATS)))
+    schema = "i long, y int, " + ", ".join(f"x{i} double" for i in range(len(STATS)))
 
     def measure(frames):
-        for pdf in frames:
+        for pdf in released(frames):
             rows = [statistics(t) for t in pdf["text"]]
             out = pd.DataFrame(np.array(rows).reshape(len(rows), len(STATS)), columns=[f"x{i}" for i in range(len(STATS))])
             out.insert(0, "y", pdf["_y"].to_numpy())
+            out.insert(0, "i", pdf["doc_id"].to_numpy())
             yield out
 
     batch_bytes(spark)
-    sample = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(known), "doc_id")
-    # one text of an id, so that rows that repeat it do not add to what the driver gets
-    sample = sample.groupBy("doc_id").agg(F.max(F.struct("_y", "text")).alias("s")).select("s._y", "s.text")
-    pdf = sample.mapInPandas(measure, schema).toPandas()  # bounded: `most` rows of statistics
+    sample = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").join(F.broadcast(known), "doc_id").select("doc_id", "_y", "text")
+    # one row of an id, so that rows that repeat it do not add to what the driver gets
+    told = sample.mapInPandas(measure, schema).groupBy("i").agg(F.max(F.struct(*[f.split()[0] for f in schema.split(", ")[1:]])).alias("s")).select("s.*")
+    pdf = told.toPandas()  # bounded: `most` rows of statistics
     pdf = pdf.sort_values(list(pdf.columns)).reset_index(drop=True)
     return fit(pdf.iloc[:, 1:].to_numpy(float), pdf["y"].to_numpy(float))
 

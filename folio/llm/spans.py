@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import SYMBOLS, Rolling, batch_bytes, dropped, lasting, maybe_in, mix, raw, scratch, word_hashes, written
+from folio.llm.common import SYMBOLS, Rolling, batch_bytes, dropped, lasting, maybe_in, mix, raw, released, scratch, word_hashes, written
 
 #: Units whose hashes are held at once; longer documents are read in overlapping parts.
 PART = 1 << 20
@@ -90,7 +90,7 @@ def _names(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int, k
     """The names (h) of the k units of the anchors of documents (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             found = (units(raw(t.as_py())) for t in batch.column(1))
             out = [anchors(u, length, k, only_names=True)[0] for u in found if len(u) >= length]
             if out:
@@ -104,7 +104,7 @@ def _rows(docs: DataFrame, units: Callable[[bytes], np.ndarray], length: int, k:
     narrow = "spans" in docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for r in range(batch.num_rows):
                 u = units(raw(batch.column(1)[r].as_py()))
@@ -182,7 +182,7 @@ def checked(docs: DataFrame, found: DataFrame, digest: Callable[[bytes, np.ndarr
     asked = written(found.select("src", "sat", "n").distinct().groupBy("src").agg(F.collect_list(F.struct("sat", "n")).alias("spans")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             out: list[tuple] = []
             for r in range(batch.num_rows):
                 spans = batch.column(2)[r].values
@@ -242,7 +242,7 @@ def remove_bytes(docs: DataFrame, length: int = 100, steps: tuple[int, ...] = (3
         spans = lasting(repeated(known, byte_units, length, steps, True).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "run")).alias("spans")))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for r in range(batch.num_rows):
                 text = raw(batch.column(1)[r].as_py())
@@ -274,7 +274,7 @@ def remove_words(docs: DataFrame, length: int = 13, steps: tuple[int, ...] = (5,
         spans = checked(known, paths(repeated(known, word_units, length, steps, False)), lambda text, at, n: _word_digests(text.split(), at, n, length))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in released(batches):
             out = []
             for r in range(batch.num_rows):
                 words = raw(batch.column(1)[r].as_py()).split()
