@@ -56,11 +56,11 @@ def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def near_duplicates(vectors: DataFrame, least: float = 0.9, id_col: str = "vec_id", col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
-    Links are pairs of cosine >= least in double precision. Vectors that are null, empty, zero or hold null or non-finite components have no links. Vectors of another length than the most frequent one are compared among their own length, without cells. A row without an id has no links, and null for its component. Each row that repeats an id is a vector, and equal rows link with each other; what any vector of an id links to counts for the id. Empty input: no rows.
+    Links are pairs of cosine >= least in double precision. Vectors that are null, empty, zero or hold null or non-finite components have no links. Vectors of another length than the most frequent one are compared among their own length, without cells. Rows without an id are left out. Each row that repeats an id is a vector, and equal rows link with each other; what any vector of an id links to counts for the id. Empty input: no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(col).cast("array<double>").alias("v")).where("vec_id is not null")
     good = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))) & F.exists("v", lambda x: x != 0)
-    v = F.when(F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull(), F.col("v"))
+    v = F.when(F.coalesce(good, F.lit(False)), F.col("v"))
     rows = written(rows.select("vec_id", v.alias("v")).withColumn("h1", F.when(F.col("v").isNotNull(), F.xxhash64("v"))).withColumn("h2", F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(1), "v"))))
     classes = written(rows.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")))
     valid = written(rows.select("vec_id", "h1", "h2", "v").join(classes, ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id", "h1", "h2"]).select("vec_id", "v", "copies"))
