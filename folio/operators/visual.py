@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions import image as I
+from folio.functions import rescan as A
 from folio.operators import score as S
 from folio.options import Options
 
 _HASHES = "id long, dhash long, phash long, ahash long"
-_COMPARED = "a long, b long, histogram double, dhash int, phash int, changed int, ink int, ink_tile array<int>, tile_diff double, tile array<int>"
+_COMPARED = "a long, b long, histogram double, dhash int, phash int, changed int, ink int, ink_tile array<int>, tile_diff double, tile array<int>, scan boolean"
 
 
 def raster(pixels: bytes, height: int, width: int, channels: int) -> np.ndarray:
@@ -52,25 +53,29 @@ def hashes(rasters: DataFrame) -> DataFrame:
 
 
 def compare_rasters(rasters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """For pairs (a, b): similarity of histograms, distances of hashes, changed pixels (null for other sizes), the most ink that appeared or went in a block of tiles and the largest difference of tile means, each with its place (null where the page is smaller than the grid)."""
+    """For pairs (a, b): similarity of histograms, distances of hashes, changed pixels (null for other sizes), the most ink that appeared or went in a block of tiles and the largest difference of tile means, each with its place (null where the page is smaller than the grid).
+
+    Pairs with `scan` true are two scans of one paper: their tiles are compared after undoing the shift, lean and exposure, and ink, which a moved page is full of, is null.
+    """
     side = lambda k: F.struct("pixels", "height", "width", "channels").alias(k)
-    both = pairs.select("a", "b").join(rasters.select(F.col("id").alias("a"), side("x")), "a").join(rasters.select(F.col("id").alias("b"), side("y")), "b")
+    scan = F.coalesce(F.col("scan"), F.lit(False)) if "scan" in pairs.columns else F.lit(False)
+    both = pairs.select("a", "b", scan.alias("scan")).join(rasters.select(F.col("id").alias("a"), side("x")), "a").join(rasters.select(F.col("id").alias("b"), side("y")), "b")
 
-    def one(x: dict, y: dict) -> tuple:
+    def one(x: dict, y: dict, scan: bool) -> tuple:
         p, q = (raster(v["pixels"], v["height"], v["width"], v["channels"]) for v in (x, y))
-        ink, (diff, tile) = I.ink_diff(p, q), I.tile_diff(p, q)
+        ink, (diff, tile) = (None, A.aligned_tile_diff(p, q)) if scan else (I.ink_diff(p, q), I.tile_diff(p, q))
         distance = [(f(p) ^ f(q)).bit_count() for f in (I.dhash, I.phash)]
-        return I.histogram_similarity(I.histogram(p), I.histogram(q)), *distance, I.changed_pixels(p, q), ink[0] if ink else None, list(ink[1]) if ink else None, diff if tile else None, list(tile) if tile else None
+        return I.histogram_similarity(I.histogram(p), I.histogram(q)), *distance, I.changed_pixels(p, q), ink[0] if ink else None, list(ink[1]) if ink else None, diff if tile else None, list(tile) if tile else None, scan
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [one(x, y) for x, y in zip(pdf["x"], pdf["y"], strict=True)]
-            out = pd.DataFrame(rows, columns=["histogram", "dhash", "phash", "changed", "ink", "ink_tile", "tile_diff", "tile"]).astype({"changed": "Int32", "ink": "Int32"})
+            rows = [one(*v) for v in zip(pdf["x"], pdf["y"], pdf["scan"], strict=True)]
+            out = pd.DataFrame(rows, columns=["histogram", "dhash", "phash", "changed", "ink", "ink_tile", "tile_diff", "tile", "scan"]).astype({"changed": "Int32", "ink": "Int32"})
             out.insert(0, "b", pdf["b"].to_numpy())
             out.insert(0, "a", pdf["a"].to_numpy())
             yield out
 
-    return both.select("a", "b", "x", "y").mapInPandas(work, _COMPARED)
+    return both.select("a", "b", "x", "y", "scan").mapInPandas(work, _COMPARED)
 
 
 def _hash_score(options: Options) -> Column:
@@ -82,7 +87,7 @@ def _hash_score(options: Options) -> Column:
 def score_pages(rasters: DataFrame, pairs: DataFrame, texts: DataFrame | None = None, options: Options = Options()) -> DataFrame:
     """Per pair (a, b): similarity, text_changed, tile_similarity, tile_changed, is_different.
 
-    The histogram rejects, hashes score, text adjusts (texts: a, b, both_have_text, same, text_similarity), and tiles decide where the text did not change: ink that appeared or went, or a tile whose mean moved as by an edit in a photo. Text that differs where no pixel does was not seen and counts as the same. A score down to SCAN_FLOOR whose tiles did not change is noise of drawing, and is lifted.
+    The histogram rejects, hashes score, text adjusts (texts: a, b, both_have_text, same, text_similarity), and tiles decide where the text did not change: ink that appeared or went, or a tile whose mean moved as by an edit in a photo. Text that differs where no pixel does was not seen and counts as the same. A score down to SCAN_FLOOR whose tiles did not change is noise of drawing, and is lifted. Pairs with `scan` true (pages that are images without text) are judged by their aligned tiles alone, with the same lift.
     """
     v = compare_rasters(rasters, pairs)
     if texts is None:
@@ -99,8 +104,8 @@ def score_pages(rasters: DataFrame, pairs: DataFrame, texts: DataFrame | None =
     ink_like = F.when(photo, F.least(I.ink_score(F.col("ink")), I.tile_score(F.col("tile_diff")))).otherwise(I.ink_score(F.col("ink")))
     tile_like = F.when(ink, ink_like).otherwise(I.tile_score(F.col("tile_diff")))
     moved = F.when(ink, (F.col("ink") > I.INK_TOLERANCE) | photo).otherwise(F.col("tile_diff") > I.TILE_TOLERANCE)
-    rows = v.select("a", "b", base.alias("base"), changed.alias("text_changed"), F.when(tiles, tile_like).alias("tile_similarity"), (tiles & F.coalesce(moved, F.lit(False))).alias("tile_changed"), ink.alias("ink"))
-    lifted = F.col("ink") & F.col("tile_similarity").isNotNull() & ~F.col("tile_changed") & (F.col("base") >= S.SCAN_FLOOR)
+    rows = v.select("a", "b", base.alias("base"), changed.alias("text_changed"), F.when(tiles, tile_like).alias("tile_similarity"), (tiles & F.coalesce(moved, F.lit(False))).alias("tile_changed"), (ink | F.col("scan")).alias("lifts"))
+    lifted = F.col("lifts") & F.col("tile_similarity").isNotNull() & ~F.col("tile_changed") & (F.col("base") >= S.SCAN_FLOOR)
     similarity = F.when(lifted, F.greatest("base", "tile_similarity")).otherwise(F.col("base"))
     rows = rows.select("a", "b", similarity.alias("similarity"), "text_changed", "tile_similarity", "tile_changed")
     return rows.withColumn("is_different", S.page_different(F.col("similarity"), F.col("text_changed"), F.col("tile_changed"), options.threshold, options.text_change == "fails"))

@@ -460,6 +460,14 @@ def visual_pages(spark, d):
     return V.score_pages(_rasters(spark, d), _next_vectors(spark, d))
 
 
+@query()
+def aligned_tile_diff(spark, d):
+    """Pages compared as scans: tiles after undoing shift, lean and exposure."""
+    pairs = _next_vectors(spark, d).withColumn("scan", F.lit(True))
+    v = V.compare_rasters(_rasters(spark, d), pairs)
+    return v.select("a", "b", F.round("tile_diff", 6).alias("diff"), F.round(I.tile_score(F.col("tile_diff")), 6).alias("score"))
+
+
 @query("select i, j, round(greatest(0.0, 1 - sqrt(cast(i as double) * i + cast(j as double) * j) / 441.67), 9) as similarity from range(0, 256, 15) r(i), range(0, 256, 15) q(j)")
 def hist_similarity_grid(spark, d):
     g = spark.range(0, 256, 15).withColumnRenamed("id", "i").crossJoin(spark.range(0, 256, 15).withColumnRenamed("id", "j"))
