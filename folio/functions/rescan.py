@@ -22,7 +22,7 @@ SAMPLE, REGIONS, FIT_ROUNDS = 3, 3, 3
 
 def _half_up(v: np.ndarray) -> np.ndarray:
     """Nearest whole number, halves away from zero."""
-    return np.sign(v) * np.floor(np.abs(v) + 0.5)
+    return (np.sign(v) * np.floor(np.abs(v) + 0.5)).astype(np.int64)
 
 
 class Areas:
@@ -35,23 +35,35 @@ class Areas:
         for axis in (0, 1):
             wide = np.pad(g, [(SOFT_EDGE, SOFT_EDGE) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
             g = sum(np.take(wide, range(k, k + g.shape[axis]), axis) for k in range(n))
-        self.sums = np.pad((g / n**2).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+        self.flat = np.pad((g / n**2).cumsum(0).cumsum(1), ((1, 0), (1, 0))).ravel()
 
     def _corner(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Sum up to (x, y), linear between pixel corners; clipped, as means outside are masked."""
-        x, y = np.clip(x, 0, self.w), np.clip(y, 0, self.h)
-        i, j = x.astype(int), y.astype(int)
+        """Sum up to (x, y), linear between pixel corners."""
+        i, j = np.minimum(x.astype(np.int64), self.w - 1), np.minimum(y.astype(np.int64), self.h - 1)
         fx, fy = x - i, y - j
-        right, below = np.minimum(i + 1, self.w), np.minimum(j + 1, self.h)
-        s = self.sums
-        return (1 - fy) * ((1 - fx) * s[j, i] + fx * s[j, right]) + fy * ((1 - fx) * s[below, i] + fx * s[below, right])
-
-    def means(self, x: np.ndarray, y: np.ndarray, width: np.ndarray | float, height: np.ndarray | float) -> np.ndarray:
-        """Means of rectangles; NaN where one is not inside the page."""
-        total = self._corner(x + width, y + height) - self._corner(x, y + height) - self._corner(x + width, y) + self._corner(x, y)
+        s, wide, k = self.flat, self.w + 1, j * (self.w + 1) + i
+        top, low = s.take(k), s.take(k + wide)
+        top += fx * (s.take(k + 1) - top)
+        low += fx * (s.take(k + wide + 1) - low)
+        return top + fy * (low - top)
+
+    def means(self, x: np.ndarray, y: np.ndarray, width: float, height: float) -> np.ndarray:
+        """Means of rectangles of one size; NaN where one is not inside the page."""
         inside = (x >= 0) & (y >= 0) & (x + width <= self.w + 1e-9) & (y + height <= self.h + 1e-9)
+        x, y = np.clip(x, 0, self.w), np.clip(y, 0, self.h)
+        x2, y2 = np.minimum(x + width, self.w), np.minimum(y + height, self.h)
+        total = self._corner(x2, y2) - self._corner(x, y2) - self._corner(x2, y) + self._corner(x, y)
         return np.where(inside, total / (width * height), np.nan)
 
+    def whole_means(self, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+        """Means of rectangles between whole pixels."""
+        inside = (x >= 0) & (y >= 0) & (x2 <= self.w) & (y2 <= self.h)
+        left, right = np.clip(x, 0, self.w), np.clip(x2, 0, self.w)
+        top, low = np.clip(y, 0, self.h) * (self.w + 1), np.clip(y2, 0, self.h) * (self.w + 1)
+        s = self.flat
+        total = s.take(low + right) - s.take(low + left) - s.take(top + right) + s.take(top + left)
+        return np.where(inside, total / ((x2 - x) * (y2 - y)), np.nan)
+
 
 @dataclass(frozen=True)
 class Field:
@@ -138,8 +150,9 @@ class Tiles:
         nx, ny = int(reach[0] / step[0]), int(reach[1] / step[1])
         dx = np.tile(_half_up(centre[0] + np.arange(-nx, nx + 1) * step[0]), 2 * ny + 1)
         dy = np.repeat(_half_up(centre[1] + np.arange(-ny, ny + 1) * step[1]), 2 * nx + 1)
-        there = b.means(x + dx[:, None], y + dy[:, None], x2 - x, y2 - y)
-        d = np.clip(e.shown(a.means(x, y, x2 - x, y2 - y)) - there, -SHIFT_CAP, SHIFT_CAP)
+        dx_, dy_ = dx[:, None], dy[:, None]
+        there = b.whole_means(x + dx_, y + dy_, x2 + dx_, y2 + dy_)
+        d = np.clip(e.shown(a.whole_means(x, y, x2, y2)) - there, -SHIFT_CAP, SHIFT_CAP)
         seen = ~np.isnan(d)
         n = seen.sum(1)
         if not n.any():

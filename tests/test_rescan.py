@@ -86,6 +86,8 @@ def test_areas_hold_the_blurred_means():
     areas = A.Areas(p)
     one = lambda x, y, w, h: float(areas.means(np.array(float(x)), np.array(float(y)), w, h))
     assert one(2, 3, 4, 5) == pytest.approx(soft[3:8, 2:6].mean())
+    assert float(areas.whole_means(*np.array([2, 3, 6, 8]))) == pytest.approx(soft[3:8, 2:6].mean())
+    assert one(8, 11, 1, 1) == pytest.approx(soft[11, 8])
     assert one(2.5, 3, 1, 1) == pytest.approx((soft[3, 2] + soft[3, 3]) / 2)
     assert np.isnan(one(-1, 0, 3, 3)) and np.isnan(one(7, 0, 3, 3)) and np.isnan(one(0, 10, 3, 3))
 
@@ -109,10 +111,11 @@ def test_a_turn_is_a_field():
 
 
 def test_scan_pairs(spark):
-    images = {1: smooth(), 2: moved(smooth(), 3, 2), 3: stamped(moved(smooth(), 3, 2))}
+    again = np.pad(smooth(), ((2, 0), (3, 0)), mode="edge")[:H, :W]
+    images = {1: smooth(), 2: again, 3: stamped(again), 4: moved(smooth(), 3, 2)}
     rasters = spark.createDataFrame([(i, *p.shape, 1, bytearray(p.tobytes())) for i, p in images.items()], "id long, height int, width int, channels int, pixels binary")
-    pairs = spark.createDataFrame([(1, 2, True), (1, 3, True), (2, 3, False), (2, 1, None)], "a long, b long, scan boolean")
+    pairs = spark.createDataFrame([(1, 2, True), (1, 3, True), (2, 3, False), (1, 4, True), (4, 1, None)], "a long, b long, scan boolean")
     got = {(r.a, r.b): r for r in visual.score_pages(rasters, pairs).collect()}
     assert not got[1, 2].tile_changed and got[1, 2].similarity >= 0.95 and not got[1, 2].is_different
     assert got[1, 3].tile_changed and got[1, 3].is_different and got[2, 3].tile_changed
-    assert got[2, 1].tile_changed  # not said to be a scan
+    assert not got[1, 4].tile_changed and got[4, 1].tile_changed  # the same pages, not said to be scans
