@@ -75,7 +75,9 @@ def compare_rasters(rasters: DataFrame, pairs: DataFrame) -> DataFrame:
             out.insert(0, "a", pdf["a"].to_numpy())
             yield out
 
-    return both.select("a", "b", "x", "y", "scan").mapInPandas(work, _COMPARED)
+    # comparing a pair takes far longer than moving it: dealt by pair, so that neither well compressed rasters nor a page of many pairs leave the work to a few tasks
+    tasks = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.select("a", "b", "x", "y", "scan").repartition(tasks, "a", "b").mapInPandas(work, _COMPARED)
 
 
 def _hash_score(options: Options) -> Column:
