@@ -104,6 +104,25 @@ def test_exposure_leaves_marked_tiles_out():
     assert e.difference(np.array([250.0, 2.0, 100.0]), np.array([246.0, 9.0, 100.0])) == pytest.approx([0, 0, 10])
 
 
+def turned(p, degrees):
+    """Turned around the centre, linear between pixels; the edge goes on outside."""
+    t = np.deg2rad(degrees)
+    y, x = np.mgrid[:H, :W] - np.array([H / 2, W / 2])[:, None, None]
+    u, v = np.clip(x * np.cos(t) + y * np.sin(t) + W / 2, 0, W - 1.001), np.clip(-x * np.sin(t) + y * np.cos(t) + H / 2, 0, H - 1.001)
+    i, j = u.astype(int), v.astype(int)
+    f, g = u - i, v - j
+    q = p.astype(float)
+    return ((q[j, i] * (1 - f) + q[j, i + 1] * f) * (1 - g) + (q[j + 1, i] * (1 - f) + q[j + 1, i + 1] * f) * g).round().astype(np.uint8)
+
+
+@pytest.mark.parametrize("page", [smooth, printed])
+def test_a_small_turn(page):
+    p = page()
+    q = turned(p, 0.4)
+    assert A.aligned_tile_diff(p, q)[0] <= I.TILE_TOLERANCE
+    assert A.aligned_tile_diff(p, stamped(q))[0] > I.TILE_TOLERANCE
+
+
 def test_a_turn_is_a_field():
     f = A.Field(2, 0.01, -3, -0.01, 100, 200)
     assert f.at(np.array(110.0), np.array(220.0)) == (pytest.approx(2.2), pytest.approx(-3.1))
