@@ -101,7 +101,7 @@ def test_verdicts_are_those_of_the_whole_comparison(planted, options):
     assert rows[0] == rows[1] and len(rows[0]) == pairs.count()
 
 
-@pytest.mark.parametrize("name", ["verdict_similar"])
+@pytest.mark.parametrize("name", ["verdict_similar", "verdict_status"])
 def test_verdicts_need_no_alignment(spark, sf_dir, name):
     p = plan(queries.QUERIES[name](spark, sf_dir))
     assert not any(x in p for x in ("FlatMapGroupsInPandas", "MapInArrow", "array_intersect"))
