@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,17 @@ def _unicode_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _ends(ranks: dict[bytes, int]) -> dict:
+    """The tokens as nested tables by their bytes from last to first, each with the id of the token that is complete there, if any."""
+    top: list = [None, {}]
+    for token, rank in ranks.items():
+        node = top
+        for b in reversed(token):
+            node = node[1].setdefault(b, [None, {}])
+        node[0] = rank
+    return top[1]
+
+
 _LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 
 
@@ -82,7 +94,7 @@ class Coder:
         stand, added = _unicode_bytes(), {t["content"] for t in spec["added_tokens"]}
         self.ranks = {bytes(stand[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         self.names = {i: t for t, i in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
+        self.ends = _ends(self.ranks)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.single = self.fast._core_bpe.encode_single_piece
@@ -135,41 +147,44 @@ class Coder:
     def piece_table(self, piece: str) -> bytes:
         """Changes of the token count at each prefix, by character, of a piece that the library encodes on its own.
 
-        States of prefixes are kept: what is known of one serves all pieces that begin with it. The last token of a prefix is unique, so the search begins with the short ones.
+        States of prefixes are kept, with their part of the table: what is known of one serves all pieces that begin with it. The last token of a prefix is unique, so the search begins with the short ones; it reads back from the prefix's end, in the tokens by their bytes from last to first.
         """
         found = self.pieces_seen.get(piece)
         if found is not None:
             return found
         p = piece.encode()
-        n, get, apart, known, longest = len(p), self.ranks.get, self.apart.get, self.prefixes, self.longest
+        n, get, apart, known, ends = len(p), self.ranks.get, self.apart.get, self.prefixes, self.ends
         if len(known) > CACHE_PREFIXES:
             known.clear()
-        keep, states, i = n <= 48, [], n if n <= 48 else 0
+        keep, counts, last, i = n <= 48, [], [], n if n <= 48 else 0
         if keep:
             while i and (state := known.get(p[:i])) is None:
                 i -= 1
-            states = list(state[2]) if i else []
-        trail = states
+            if i:
+                counts, last = [*state[0]], [*state[1]]
         for i in range(i + 1, n + 1):
-            state = None
-            for j in range(i - 1, max(0, i - longest - 1), -1):
-                t = get(p[j:i])
+            more, j = ends, i - 1
+            while j and (node := more.get(p[j])) is not None:
+                t, more = node
                 if t is not None:
-                    count, before = trail[j - 1]
+                    before = last[j - 1]
                     ok = apart((before, t))
                     if ok or ok is None and self.stays_apart(before, t):
-                        state = (count + 1, t)
+                        counts.append(counts[j - 1] + 1)
+                        last.append(t)
                         break
-            if state is None:
-                state = (1, get(p[:i]))
-            trail.append(state)
+                j -= 1
+            else:
+                counts.append(1)
+                last.append(get(p[:i]))
         if keep:
-            known[p] = (0, 0, tuple(trail))
+            known[p] = (tuple(counts), tuple(last))
             for k in (n // 2, n - 2):
                 if k > 3 and p[:k] not in known:
-                    known[p[:k]] = (0, 0, tuple(trail[:k]))
-        counts = [c for c, _ in trail] if n == len(piece) else [c for (c, _), b in zip(trail, [*p[1:], 0], strict=True) if b & 0xC0 != 0x80]
-        out = bytes([(b - a) & 255 for a, b in zip([0, *counts[:-1]], counts, strict=True)])
+                    known[p[:k]] = (tuple(counts[:k]), tuple(last[:k]))
+        if n != len(piece):
+            counts = [c for c, b in zip(counts, [*p[1:], 0], strict=True) if b & 0xC0 != 0x80]
+        out = bytes([d & 255 for d in map(sub, counts, [0, *counts[:-1]])])
         if n <= 64:
             if len(self.pieces_seen) >= CACHE_UNITS // 2:
                 self.pieces_seen.clear()
