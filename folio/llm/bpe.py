@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from operator import sub
 
 import numpy as np
@@ -94,7 +95,6 @@ class Coder:
         stand, added = _unicode_bytes(), {t["content"] for t in spec["added_tokens"]}
         self.ranks = {bytes(stand[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in added}
         self.names = {i: t for t, i in self.ranks.items()}
-        self.ends = _ends(self.ranks)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=self.ranks, special_tokens={})
         self.single = self.fast._core_bpe.encode_single_piece
@@ -104,6 +104,10 @@ class Coder:
         self.ids = Units(self.unit_ids)
         self.tables = Units(self.unit_table)
 
+    @cached_property
+    def ends(self) -> dict:
+        return _ends(self.ranks)  # for prefix counts alone: ids, as packing has them, do without
+
     def encode(self, unit: str) -> list[int]:
         if unit.isascii() and "<|" not in unit or not SPECIAL.search(unit) and max(unit, default="") < "ɐ":
             return self.fast.encode_ordinary(unit)
